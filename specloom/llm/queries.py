@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash_dedup, substring_dedup
+from . import packing, quality_rules, simhash_dedup, substring_dedup
 
-MODULES = (quality_rules, simhash_dedup, substring_dedup)
+MODULES = (packing, quality_rules, simhash_dedup, substring_dedup)
 
 
 def queries() -> dict:
