@@ -43,7 +43,8 @@ def _anchors(width: int, cover: tuple, period: int):
                 at = np.flatnonzero(residues[local % period] & (local + anchor <= room) & (room >= width))
                 if len(at):
                     owner = np.repeat(np.arange(row, row + len(sizes)), sizes)[at]
-                    yield pa.record_batch([pa.array(w.windows(anchor, at).view(np.int64)), pa.array(docs[owner]), pa.array(local[at].astype(np.int32))], names=["anchor", "doc", "pos"])
+                    whole = w.runs(w.offsets[:-1], w.offsets[1:])[owner - row].view(np.int64)
+                    yield pa.record_batch([pa.array(w.windows(anchor, at).view(np.int64)), pa.array(whole), pa.array(docs[owner]), pa.array(local[at].astype(np.int32))], names=["anchor", "whole", "doc", "pos"])
 
     return run
 
@@ -63,6 +64,7 @@ def _candidates(width: int, period: int):
                     if n < width:
                         continue
                     p = np.asarray(shared[row + k].values)
+                    p = p[p < n]  # positions of another row of this doc_id
                     mark = np.zeros(n + 2, dtype=np.int32)
                     np.add.at(mark, np.maximum(p - reach, 0), 1)
                     np.add.at(mark, p + 1, -1)
@@ -78,11 +80,11 @@ def _candidates(width: int, period: int):
     return run
 
 
-def _removal(width: int, with_text: bool):
+def _removal(width: int):
     def run(batches):
         for batch in batches:
             texts, marked = batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2)
-            n, cut, digest, kept = [], [], [], []
+            n, cut, digest = [], [], []
             for i, text in enumerate(texts):
                 found = (text or b"").split()
                 starts = marked[i].values
@@ -90,6 +92,7 @@ def _removal(width: int, with_text: bool):
                 if starts is not None and len(starts):
                     mark = np.zeros(len(found) + width + 1, dtype=np.int32)
                     p = np.asarray(starts)
+                    p = np.arange(max(0, len(found) - width + 1)) if p.min() < 0 else p[p <= len(found) - width]
                     np.add.at(mark, p, 1)
                     np.add.at(mark, p + width, -1)
                     covered = np.cumsum(mark[: len(found)]) > 0
@@ -101,37 +104,97 @@ def _removal(width: int, with_text: bool):
                 n.append(len(found))
                 cut.append(gone)
                 digest.append(hashlib.sha256(out).hexdigest())
-                if with_text:
-                    kept.append(out.decode("utf-8") if gone else (text.decode("utf-8") if text is not None else None))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.record_batch(columns + ([pa.array(kept, pa.string())] if with_text else []), names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def shared_windows(docs: DataFrame, width: int = 50, cover: tuple = COVER, period: int = PERIOD) -> DataFrame:
-    """(doc, starts): where windows begin that also begin in a text with a smaller doc_id. docs: doc_id, text."""
-    docs = docs.where("doc_id is not null")
-    anchors = docs.mapInArrow(_anchors(width, cover, period), "anchor long, doc long, pos int")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    around = common.cut(anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_list("pos").alias("pos")))
-    common.release(docs.sparkSession)
+def _wholes(width: int):
+    """One row per text of width words or more: 96 bits of hash over all its words."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, bounds in slices(batch.column(1)):
+                w = Words(data, bounds)
+                k = np.flatnonzero(np.diff(w.offsets) >= width)
+                if len(k):
+                    start, end = w.offsets[k], w.offsets[k + 1]
+                    yield pa.record_batch([pa.array(w.runs(start, end).view(np.int64)), pa.array(w.runs(start, end, 1).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(row + k))], names=["h1", "h2", "doc"])
+
+    return run
+
+
+def _copies(docs: DataFrame, width: int) -> DataFrame:
+    """(doc): texts whose words are all those of a text with a smaller doc_id; all their windows begin there too."""
+    whole = docs.mapInArrow(_wholes(width), "h1 long, h2 int, doc long")
+    first = whole.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h1", "h2", "a")
+    return common.cut(whole.join(first, ["h1", "h2"]).where("doc > a").select("doc").distinct())
+
+
+def _around(docs: DataFrame, copies: DataFrame, width: int, cover: tuple, period: int) -> DataFrame:
+    """(doc, pos): anchors that different texts share. Copies need no look, the first of their texts stands for them."""
+    anchors = docs.mapInArrow(_anchors(width, cover, period), "anchor long, whole long, doc long, pos int")
+    shared = anchors.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b").select("anchor")
+    own = anchors.drop("whole").join(shared, "anchor").groupBy("doc").agg(F.collect_list("pos").alias("pos"))
+    return common.cut(own.join(copies, "doc", "left_anti"))
+
+
+def _repeated(docs: DataFrame, around: DataFrame, width: int, period: int) -> DataFrame:
+    """(doc, starts) of the windows around shared anchors that begin in a text with a smaller doc_id too."""
     texts = docs.join(around, docs.doc_id == around.doc).select("doc_id", "text", "pos")
     windows = texts.mapInArrow(_candidates(width, period), "h1 long, h2 int, doc long, pos int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h1", "h2", "a")
-    found = common.cut(windows.join(first, ["h1", "h2"]).where("doc > a").groupBy("doc").agg(F.collect_set("pos").alias("starts")))
-    common.release(docs.sparkSession)
+    return common.cut(windows.join(first, ["h1", "h2"]).where("doc > a").groupBy("doc").agg(F.collect_set("pos").alias("starts")))
+
+
+def shared_windows(docs: DataFrame, width: int = 50, cover: tuple = COVER, period: int = PERIOD) -> DataFrame:
+    """(doc, starts): where windows begin that also begin in a text with a smaller doc_id; [-1] stands for everywhere.
+
+    docs: doc_id, text. Each step is written before the next begins, so its shuffle files can go.
+    """
+    spark, docs = docs.sparkSession, docs.where("doc_id is not null")
+    copies = _copies(docs, width)
+    around = _around(docs, copies, width, cover, period)
+    common.release(spark)
+    found = _repeated(docs, around, width, period)
+    common.release(spark)
     common.drop(around)
-    return found
+    everywhere = copies.select("doc", F.array(F.lit(-1)).alias("starts"))
+    return found.unionByName(everywhere)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text (unchanged where nothing goes)."""
+def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = shared_windows(docs, width)
     rows = docs.join(found, docs.doc_id == found.doc, "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return rows.mapInArrow(_removal(width, with_text), kind)
+    return rows.mapInArrow(_removal(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip_passages(docs: DataFrame, text: str, starts: str, width: int = 50) -> DataFrame:
+    """docs with the words under the given windows taken out of the text column; all other characters but the white
+    space after a removed word stay as they are."""
+    names = [f.name for f in docs.schema.fields]
+    t, s = names.index(text), names.index(starts)
+
+    def run(batches):
+        for batch in batches:
+            texts, marked, out = batch.column(t).cast(pa.large_binary()).to_pylist(), batch.column(s).to_pylist(), []
+            for value, p in zip(texts, marked):
+                value = value or b""
+                w = Words(np.frombuffer(value, dtype=np.uint8), np.array([0, len(value)]))
+                n = len(w.start)
+                p = np.arange(max(0, n - width + 1)) if min(p) < 0 else np.array([x for x in p if x <= n - width], dtype=np.int64)
+                mark = np.zeros(n + width + 1, dtype=np.int32)
+                np.add.at(mark, p, 1)
+                np.add.at(mark, p + width, -1)
+                keep = np.cumsum(mark[:n]) == 0
+                after = np.append(w.start[1:], len(value))
+                first = value[: w.start[0]] if n and keep[0] else b""
+                out.append((first + b"".join(value[a:b] for a, b, k in zip(w.start.tolist(), after.tolist(), keep.tolist()) if k)).strip(b" ").decode("utf-8") if n else "")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == t else batch.column(i) for i in range(len(names))], schema=pa.schema([batch.schema.field(i) if i != t else pa.field(text, pa.string()) for i in range(len(names))]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
