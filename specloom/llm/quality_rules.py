@@ -96,15 +96,15 @@ def thresholds(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
         counts += [F.count_if(good & (_ratio(rule) > c)).alias(f"{rule}_{i}_good"), F.count_if(~good & (_ratio(rule) > c)).alias(f"{rule}_{i}_bad")]
     found = rows.groupBy("stratum").agg(*counts)
     share = alpha / len(RULES)
-    strata = found.withColumn("strata", F.lit(1)).groupBy().agg(F.sum("strata").alias("n_strata"))
-    found = found.crossJoin(F.broadcast(strata))  # one row: the number of strata
+    found = common.cut(found)  # one row per stratum
+    strata = found.count()
     out = []
     for rule, (_, cutoffs) in RULES.items():
         options = []
         for i, c in enumerate(cutoffs):
             k, n = F.col(f"{rule}_{i}_good"), F.col("good")
             safe = (n > 0) & (k < n * share)  # beyond the mean no exact bound can hold; skips long sums
-            sure = F.when(safe, binomial_cdf(k, n, share)).otherwise(F.lit(1.0)) <= F.lit(delta) / (F.col("n_strata") * len(tests))
+            sure = F.when(safe, binomial_cdf(k, n, share)).otherwise(F.lit(1.0)) <= F.lit(delta / max(1, strata * len(tests)))
             options.append(F.when(sure & (F.col(f"{rule}_{i}_bad") > 0), F.struct(F.col(f"{rule}_{i}_bad").alias("bad"), F.lit(float(c)).alias("cut"))))
         out.append(F.array_max(F.array(*options))["cut"].alias(rule))
     return found.select("stratum", *out)
