@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from . import license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
 
-MODULES = (packing, quality_rules, secret_scan, simhash_dedup, substring_dedup)
+MODULES = (license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup)
 
 
 def queries() -> dict:
