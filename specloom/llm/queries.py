@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from . import bpe, chat_format, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
 
-MODULES = (chat_format, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup)
+MODULES = (bpe, chat_format, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup)
 
 
 def queries() -> dict:
