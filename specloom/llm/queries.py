@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat_format, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from . import ann, bpe, chat_format, html_extract, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
 
-MODULES = (ann, bpe, chat_format, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup)
+MODULES = (ann, bpe, chat_format, html_extract, license_scan, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup)
 
 
 def queries() -> dict:
