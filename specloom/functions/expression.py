@@ -195,12 +195,16 @@ class _Compiler:
         inside = lambda x: _Compiler(self.scope.with_name(g.target.id, over.element(x)), self.in_block)
         kept = over.col
         for test in g.ifs:
-            kept = F.filter(kept, lambda x, t=test: truthy(inside(x).value(t)))
+            kept = F.filter(kept, self._keeps(inside, test))
         kind = inside(F.lit(None)).value(node.elt).type
         out = F.transform(kept, lambda x: inside(x).value(node.elt).col)
         kind = T.ArrayType(STRING if isinstance(kind, T.NullType) else kind)
         return Typed(F.coalesce(out, F.array().cast(kind)), kind)
 
+    @staticmethod
+    def _keeps(inside: Callable, test) -> Callable[[Column], Column]:
+        return lambda x: truthy(inside(x).value(test))
+
     def _boolop(self, node) -> Typed:
         values = [self.value(x) for x in node.values]
         kind, out = common([v.type for v in values]), values[-1]

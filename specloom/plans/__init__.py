@@ -1,0 +1 @@
+"""Driver-side planning: schemas, specifications, joins and the mapper."""
