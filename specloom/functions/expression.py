@@ -90,7 +90,7 @@ class _Compiler:
             if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
                 env = {**env, s.targets[0].id: inner.value(s.value)}
             elif isinstance(s, ast.If) and not s.orelse:
-                test = truthy(inner.value(s.test))
+                test = inner.truth(s.test)
                 after = self._run(s.body, env)
                 for name, value in after.items():
                     if value is not env.get(name):
@@ -203,20 +203,31 @@ class _Compiler:
 
     @staticmethod
     def _keeps(inside: Callable, test) -> Callable[[Column], Column]:
-        return lambda x: truthy(inside(x).value(test))
+        return lambda x: inside(x).truth(test)
+
+    def truth(self, node) -> Column:
+        """Whether a node's value counts as true, from its parts: operands of and / or may differ in type."""
+        if isinstance(node, ast.BoolOp):
+            out = self.truth(node.values[0])
+            for x in node.values[1:]:
+                out = out & self.truth(x) if isinstance(node.op, ast.And) else out | self.truth(x)
+            return out
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            return ~self.truth(node.operand)
+        return truthy(self.value(node))
 
     def _boolop(self, node) -> Typed:
         values = [self.value(x) for x in node.values]
         kind, out = common([v.type for v in values]), values[-1]
-        for v in reversed(values[:-1]):
-            test = truthy(v) if isinstance(node.op, ast.And) else ~truthy(v)
+        for v, x in reversed(list(zip(values[:-1], node.values))):
+            test = self.truth(x) if isinstance(node.op, ast.And) else ~self.truth(x)
             out = Typed(F.when(test, cast(out, kind).col).otherwise(cast(v, kind).col), kind)
         return out
 
     def _unaryop(self, node) -> Typed:
         v = self.value(node.operand)
         if isinstance(node.op, ast.Not):
-            return Typed(~truthy(v), BOOL)
+            return Typed(~self.truth(node.operand), BOOL)
         if v.kind == "null":
             return v
         if isinstance(node.op, ast.Invert):
@@ -296,7 +307,7 @@ class _Compiler:
         for arm in arms:
             if not isinstance(arm, (ast.Tuple, ast.List)) or len(arm.elts) != 2:
                 raise ExpressionError("case takes (condition, value) pairs")
-            pairs.append((truthy(self.value(arm.elts[0])), self.value(arm.elts[1])))
+            pairs.append((self.truth(arm.elts[0]), self.value(arm.elts[1])))
         kind, out = common([v.type for _, v in pairs]), None
         for test, v in pairs:
             col = cast(v, kind).col

@@ -55,8 +55,8 @@ LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS tot FROM orders
 
 _add("copy_rename_const", "customer", _slots("customer", {"id": {"populated_from": "c_custkey"}, "c_name": None, "kind": {"value": "customer"}, "src_class": {"populated_from": "_source_class"}, "h": {"populated_from": "c_acctbal", "hide": True}, "absent": None}),
      "SELECT c_custkey AS id, c_name, 'customer' AS kind, 'customer' AS src_class, NULL::VARCHAR AS absent FROM customer")
-_add("expr_arith", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "n": {"populated_from": "l_linenumber", "range": "integer"}, "net": _e("round(l_extendedprice * (1 - l_discount), 2)"), "q": _e("l_orderkey // 7"), "r": _e("l_orderkey % -7"), "neg": _e("-l_linenumber ** 2"), "b": _e("(l_orderkey & 12) | (l_linenumber << 1)")}),
-     "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, round_even(l_extendedprice * (1 - l_discount), 2) AS net, floor(l_orderkey / 7)::BIGINT AS q, (l_orderkey - -7 * floor(l_orderkey / -7.0))::BIGINT AS r, (-(l_linenumber * l_linenumber))::BIGINT AS neg, ((l_orderkey & 12) | (l_linenumber::BIGINT << 1))::BIGINT AS b FROM lineitem")
+_add("expr_arith", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "n": {"populated_from": "l_linenumber", "range": "integer"}, "net": _e("l_extendedprice * (1 - l_discount)"), "q": _e("l_orderkey // 7"), "r": _e("l_orderkey % -7"), "neg": _e("-l_linenumber ** 2"), "b": _e("(l_orderkey & 12) | (l_linenumber << 1)")}),
+     "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_extendedprice * (1 - l_discount) AS net, floor(l_orderkey / 7)::BIGINT AS q, (l_orderkey - -7 * floor(l_orderkey / -7.0))::BIGINT AS r, (-(l_linenumber * l_linenumber))::BIGINT AS neg, ((l_orderkey & 12) | (l_linenumber::BIGINT << 1))::BIGINT AS b FROM lineitem")
 _add("expr_case_bool", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "band": _e("case((p_size < 10, 'small'), (10 <= p_size < 30, 'medium'), (True, 'large'))"), "both": _e("p_size > 20 and p_retailprice > 1000"), "pick": _e("p_size > 40 and p_name or p_brand"), "no": _e("not p_size"), "has": _e("'a' in p_name"), "among": _e("p_size in [1, 2, 3]")}),
      "SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS band, p_size > 20 AND p_retailprice > 1000 AS both, CASE WHEN p_size > 40 AND p_name <> '' THEN p_name ELSE p_brand END AS pick, p_size = 0 AS no, contains(p_name, 'a') AS has, p_size IN (1, 2, 3) AS among FROM part")
 _add("expr_string_fns", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "u": _e("upper(p_name)"), "l": _e("lower(p_brand)"), "c": _e("capitalize(p_type)"), "s": _e("slugify(p_type)"), "n": _e("len(p_name)"), "j": _e("p_brand + '/' + str(p_size)"), "f": _e("str(p_size * 1.0)"), "first": _e("p_name[0]"), "isnum": _e("is_numeric(p_name)")}),
