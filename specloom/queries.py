@@ -109,13 +109,13 @@ def _over(column: str, operator: str, **more) -> dict:
     return {"populated_from": f"lineitem.{column}", "aggregation_operation": {"operator": operator, **more}}
 
 
-_rounded = lambda *names: lambda d: d.withColumns({n: F.round(n, 4) for n in names})
+_rounded = lambda *names: lambda d: d.withColumns({n: F.round(n, 7) for n in names})
 _add("agg_sum_count_avg", "orders", _slots("orders", {"k": {"populated_from": "o_orderkey"}, "s": _over("l_quantity", "SUM"), "c": _over("l_quantity", "COUNT"), "a": _over("l_extendedprice", "AVERAGE")}, joins=_LINES),
-     "SELECT o_orderkey AS k, round(coalesce(s, 0), 4) AS s, coalesce(c, 0)::BIGINT AS c, round(a, 4) AS a FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS s, count(*) AS c, avg(l_extendedprice) AS a FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey", ("lineitem",), finish=_rounded("s", "a"))
+     "SELECT o_orderkey AS k, round(coalesce(s, 0), 7) AS s, coalesce(c, 0)::BIGINT AS c, round(a, 7) AS a FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS s, count(*) AS c, avg(l_extendedprice) AS a FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey", ("lineitem",), finish=_rounded("s", "a"))
 _add("agg_min_max_median", "orders", _slots("orders", {"k": {"populated_from": "o_orderkey"}, "lo": _over("l_extendedprice", "MIN"), "hi": _over("l_extendedprice", "MAX"), "md": _over("l_extendedprice", "MEDIAN")}, joins=_LINES),
-     "SELECT o_orderkey AS k, lo, hi, round(md, 4) AS md FROM orders LEFT JOIN (SELECT l_orderkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, median(l_extendedprice) AS md FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey", ("lineitem",), finish=_rounded("md"))
+     "SELECT o_orderkey AS k, lo, hi, round(md, 7) AS md FROM orders LEFT JOIN (SELECT l_orderkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, median(l_extendedprice) AS md FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey", ("lineitem",), finish=_rounded("md"))
 _add("agg_var_pop", "orders", _slots("orders", {"k": {"populated_from": "o_orderkey"}, "v": _over("l_quantity", "VARIANCE"), "d": _over("l_quantity", "STD_DEV")}, joins=_LINES),
-     "SELECT o_orderkey AS k, round(v, 4) AS v, round(d, 4) AS d FROM orders LEFT JOIN (SELECT l_orderkey, var_pop(l_quantity) AS v, stddev_pop(l_quantity) AS d FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey", ("lineitem",), finish=_rounded("v", "d"))
+     "SELECT o_orderkey AS k, round(v, 7) AS v, round(d, 7) AS d FROM orders LEFT JOIN (SELECT l_orderkey, var_pop(l_quantity) AS v, stddev_pop(l_quantity) AS d FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey", ("lineitem",), finish=_rounded("v", "d"))
 _add("agg_set_size", "orders", _slots("orders", {"k": {"populated_from": "o_orderkey"}, "flags": _over("l_returnflag", "SET"), "all": _over("l_linenumber", "LIST")}, joins=_LINES),
      "SELECT o_orderkey AS k, coalesce(f, '') AS flags, coalesce(n, 0)::BIGINT AS n_all FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS f, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey", ("lineitem",), finish=lambda d: d.select("k", F.array_join(F.sort_array("flags"), ",").alias("flags"), F.size("all").cast("long").alias("n_all")))
 _add("agg_mode", "orders", _slots("orders", {"k": {"populated_from": "o_orderkey"}, "m": _over("l_returnflag", "MODE")}, joins=_LINES),
