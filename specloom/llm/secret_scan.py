@@ -188,11 +188,12 @@ def with_findings(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with mask in place of each secret of its text; other columns as they were."""
-    out = with_findings(docs, text)
+    """docs with mask in place of each secret of its text; other columns, whatever their names, as they were."""
+    packed = docs.select(F.struct(*docs.columns).alias("_s_doc"), F.col(text).alias("text"))
+    out = with_findings(packed)
     kept = F.zip_with(F.slice("_s_pieces", 2, F.greatest(F.size("_s_pieces") - 1, F.lit(0))), "findings", lambda x, f: F.when(f["secret"], F.concat(F.lit(mask), F.substring_index(x, SHUT, -1))).otherwise(F.replace(x, F.lit(SHUT), F.lit(""))))
-    clean = F.when(F.exists("findings", lambda f: f["secret"]), F.concat(F.element_at("_s_pieces", 1), F.array_join(kept, ""))).otherwise(F.col(text))
-    return out.withColumn(text, clean).drop("_s_pieces", "findings")
+    clean = F.when(F.exists("findings", lambda f: f["secret"]), F.concat(F.element_at("_s_pieces", 1), F.array_join(kept, ""))).otherwise(F.col("text"))
+    return out.select(*[clean.alias(c) if c == text else F.col("_s_doc")[c].alias(c) for c in docs.columns])
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
