@@ -52,6 +52,20 @@ def bigrams_of(text: str) -> list[str]:
     return sorted(set([" ".join(p) for p in zip(words, words[1:])] or words))
 
 
+def marks(known: list[tuple[str, tuple]], threshold: float) -> list[str]:
+    """Words of which every text that matches a template holds one: a match shares t / (2 - t) of a template's bigrams at
+    least, so words are chosen, rarer kinds (long ones, numbers) first, until the bigrams without any of them are too few for a match."""
+    chosen: list[str] = []
+    for _, bigrams in known:
+        need = threshold / (2 - threshold) * len(bigrams)
+        while True:
+            free = [b for b in bigrams if not any(m in w for w in b.split() for m in chosen)]
+            if len(free) < need or not free:
+                break
+            chosen.append(max({w for b in free for w in b.split()}, key=lambda w: (len(w) > 3, any(c.isdigit() for c in w), len(w), w)))
+    return [m for m in chosen if not any(o != m and o in m for o in chosen)]
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line (from 1; 0 for the whole text), license, score (Dice, 6 digits) per candidate that matches."""
     known = sorted({(n, tuple(bigrams_of(t))) for n, t in (templates() if known is None else known)})
@@ -60,6 +74,11 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, threshold:
     smallest, largest = min(len(b) for _, b in known) * low, max(len(b) for _, b in known) * high
     vocabulary = sorted({w for _, b in known for x in b for w in x.split()})
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    held = None  # cheap and lossless: texts without any mark match nothing
+    for m in marks(known, threshold):
+        here = F.contains("_l", F.lit(m))
+        held = here if held is None else held | here
+    rows = rows.withColumn("_l", F.lower("_t")).where(held).drop("_l")
     # A match shares a bigram, hence a word, with some template: other lines need no normalising.
     cuts = F.transform(F.split("_t", "\n", -1), lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("part")))
     rows = rows.withColumn("_c", F.filter(F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("_t").alias("part"))), cuts), lambda x: F.rlike(F.lower(x["part"]), F.lit(r"(?<![0-9a-z])(?:" + "|".join(vocabulary) + r")(?![0-9a-z])"))))
