@@ -62,6 +62,9 @@ def drop(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of finished steps (it works on unreachable plans only)."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
