@@ -1,8 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-SQL cannot express the SimHash, the forest or the packing, so there is no ORACLE_SQL; tests/llm checks run() against a
-brute-force version.
+SQL cannot express the SimHash, the forest or the packing, so there is no ORACLE_SQL; tests/llm checks
+the stages on planted cases, and each operator against brute force.
 """
 
 from __future__ import annotations
