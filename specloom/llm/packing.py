@@ -32,6 +32,8 @@ CAPACITY, END = 1024, 2
 #: Entries a worker's memo of encoded chunks may hold before it is started anew.
 MEMO = 1_000_000
 _memos: dict[str, _Memo] = {}
+#: A word and marks after it; a mark is no letter, digit or white space, and the first one no apostrophe.
+_MARKED = re.compile(r"([^\W\d_]+)([^\w\s'][^\w\s]*)\Z")
 #: A run of white space that holds a space with white space on both sides: there, cutting at spaces is not exact.
 _RUN = re.compile(r"\s \s")
 
@@ -44,20 +46,41 @@ class _Memo(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids whose first letter stands for a space
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode the unknown words among chunks in one go; each begins at an id that begins with a space."""
+        words = dict.fromkeys(m[1] if (m := _MARKED.match(c)) else c for c in chunks)
+        words = [w for w in words if w.isalpha() and w not in self]
+        if len(words) < 2:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(self.begins[ids]).tolist()
+        if len(at) == len(words):
+            b = ids.tobytes()
+            for w, i, j in zip(words, at, [*at[1:], len(ids)]):
+                self[w] = b[4 * i : 4 * j]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        word = chunk[:-1]
-        if word.isalpha() and chunk[-1] in ".,:;!?":  # a word and a mark are tokens of their own
-            out = self[word] + self.mark(chunk[-1])
+        m = _MARKED.match(chunk)
+        head, line, tail = chunk.partition("\n")
+        if m and m[1].isalpha():  # a word and the marks after it are tokens of their own
+            out = self[m[1]] + self.mark(m[2])
+        elif line and head and tail and not head[-1].isspace() and not tail[0].isspace():  # so is a lone line feed
+            m = _MARKED.match(tail)
+            out = self[head] + self.mark("\n") + (self.mark(m[1]) + self.mark(m[2]) if m and m[1].isalpha() else self.mark(tail))
         else:
             out = self.whole(" " + chunk)
         self[chunk] = out
         return out
 
     def mark(self, c: str) -> bytes:
+        """The ids of what stands without a space before it."""
         key = "\0" + c  # no chunk of a text with NUL is looked up here
         found = self.get(key)
         if found is None:
@@ -77,6 +100,9 @@ def encode(text: str, path: str) -> bytes:
     if "<|" in text or "\0" in text or _RUN.search(text):
         return memo.whole(text)
     head, *rest = text.split(" ")
+    new = {c for c in set(rest) if c not in memo}
+    if len(new) > 1:
+        memo.learn(new)
     return memo.whole(head) + b"".join(map(memo.__getitem__, rest))
 
 

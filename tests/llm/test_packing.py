@@ -18,7 +18,7 @@ def ids(text):
 def test_encode_is_the_library():
     r = random.Random(1)
     t = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
-    parts = [" ", " ", " ", "\n", "\t", "a", "bc", "Zoë", "1", "é", "'s", "!", ",", " ", "　", "\x1c", "<|endoftext|>", ".", "\0", " \n", "word", "ǆ"]
+    parts = [" ", " ", " ", "\n", "\t", "a", "bc", "Zoë", "1", "é", "'s", "!", ",", " ", "　", "\x1c", "<|endoftext|>", ".", "\0", " \n", "word", "ǆ", "***", "_", "\u0301", "½"]
     for _ in range(3000):
         x = "".join(r.choice(parts) for _ in range(r.randint(0, 16)))
         assert packing.encode(x, packing.tokenizer_path()) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
