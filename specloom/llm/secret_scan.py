@@ -20,8 +20,10 @@ from . import common
 
 #: Candidate patterns (fixed values): assignments to a key-like name, known prefixes, long runs of key characters.
 NAMES = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key"
-ASSIGNED = r"(?i:(?=[pstac])(?:" + NAMES + r")[\w-]{0,40}[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?)"
 PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|AIza[0-9A-Za-z_-]{35}|sk[-_][0-9A-Za-z_-]{20,250}|eyJ[0-9A-Za-z_-]{10,2000}\.[0-9A-Za-z_-]{10,4000}(?:\.[0-9A-Za-z_-]{4,1000})?|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: A whole name (possibly behind a path) whose last part holds a word of NAMES, and the sign; tried where a run of name
+#: characters begins, so that each is read a bounded number of times and a long name is not taken for a RUN.
+ASSIGNED = r"(?:(?<![\w+/-])|\G)(?=[\w+/-]++[\"']?\s{0,4}[=:])(?!" + PREFIXED + r")(?:[\w-]*+[+/]++)*+(?=[\w-]*?(?i:" + NAMES + r"))[\w-]++[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?"
 RUN = r"[0-9A-Za-z+/_-]{20,512}={0,2}"
 VALUE = r"[^\s\"'<>,;]{6,512}"
 CANDIDATE = r"(" + ASSIGNED + r")(" + VALUE + r")|(?<![0-9A-Za-z])(" + PREFIXED + r"|" + RUN + r")"

@@ -127,3 +127,13 @@ def test_nearest(spark):
     assert hits >= 0.9 * 200
     few = ann.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")).collect()
     assert [(r.query_id, r["rank"]) for r in few] == [(0, 1), (0, 2)]
+
+
+def masked(spark, texts):
+    rows = secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.text for r in sorted(rows)]
+
+
+def test_secrets_of_long_names(spark):
+    texts = ["x SPRING_DATASOURCE_PASSWORD=Tr0ub4dor&3x y", "DATABASE_ADMIN_PASSWORD: hunter2!9", "MYSQL_REPLICATION_PASSWORD='Zq8#kP2v!x'", "a/long/path/to/settings/db_password=hT7x!9qPz2", "A" * 60 + "_API_TOKEN_" + "B" * 20 + "=hT7x!9qPz2"]
+    assert masked(spark, texts) == ["x SPRING_DATASOURCE_PASSWORD=[SECRET] y", "DATABASE_ADMIN_PASSWORD: [SECRET]", "MYSQL_REPLICATION_PASSWORD='[SECRET]'", "a/long/path/to/settings/db_password=[SECRET]", "A" * 60 + "_API_TOKEN_" + "B" * 20 + "=[SECRET]"]
