@@ -20,12 +20,17 @@ from . import common
 
 #: Candidate patterns (fixed values): assignments to a key-like name, known prefixes, long runs of key characters.
 NAMES = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key"
-PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|AIza[0-9A-Za-z_-]{35}|sk[-_][0-9A-Za-z_-]{20,250}|eyJ[0-9A-Za-z_-]{10,2000}\.[0-9A-Za-z_-]{10,4000}(?:\.[0-9A-Za-z_-]{4,1000})?|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: A private key from its BEGIN to its END line; where the text ends before END, the header and key lines that follow BEGIN.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\r\n]*+|[0-9A-Za-z+/=]{20,}+))++(?:(?:\r?\n|\\n)[0-9A-Za-z+/=]++(?=[ \t]*+(?:[\r\n\\\"']|\z)))?)?+)"
+)
+PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}[0-9A-Za-z]*+|gh[pousr]_[0-9A-Za-z]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|sk[-_][0-9A-Za-z_-]{20,}+|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+(?:\.[0-9A-Za-z_-]{4,}+){0,3}|" + PEM
 #: A whole name (possibly behind a path) whose last part holds a word of NAMES, and the sign; tried where a run of name
 #: characters begins, so that each is read a bounded number of times and a long name is not taken for a RUN.
 ASSIGNED = r"(?:(?<![\w+/-])|\G)(?=[\w+/-]++[\"']?\s{0,4}[=:])(?!" + PREFIXED + r")(?:[\w-]*+[+/]++)*+(?=[\w-]*?(?i:" + NAMES + r"))[\w-]++[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?"
-RUN = r"[0-9A-Za-z+/_-]{20,512}={0,2}"
-VALUE = r"[^\s\"'<>,;]{6,512}"
+RUN = r"[0-9A-Za-z+/_-]{20,}+={0,2}"
+VALUE = PEM + r"|[^\s\"'<>,;]{6,}+"
 CANDIDATE = r"(" + ASSIGNED + r")(" + VALUE + r")|(?<![0-9A-Za-z])(" + PREFIXED + r"|" + RUN + r")"
 #: Sentinels put around candidates; noncharacters, so that valid text does not hold them.
 OPEN, SHUT, MID = "\ufdd0", "\ufdd1", "\ufdd2"
@@ -81,6 +86,12 @@ def labelled_findings(n: int = SAMPLE, seed: int = 42) -> list[tuple[str, str, s
     prose = lambda: " ".join(word() if r.random() < 0.6 else r.choice(DICTIONARY) for _ in range(r.randint(3, 9))) + " "
     name = lambda: r.choice(["password", "passwd", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret", "API_TOKEN", "DB_PASSWORD"])
     sign = lambda: r.choice(["=", " = ", ": ", "=\"", " = \"", ": '"])
+    block = lambda kind, line: ("-----BEGIN " + kind, line.join(pick(alnum + "+/", 64) for _ in range(r.randint(1, 26))), "-----END " + kind)
+
+    def pem():
+        kind, line = r.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----", r.choice(["\n", "\\n"])
+        return line.join(block(kind, line)[: r.choice([2, 3, 3, 3])])
+
     real = [
         lambda: (prose(), r.choice(["AKIA", "ASIA"]) + pick(upper, 16)),
         lambda: (prose() + name() + sign(), pick(hexa, r.randint(12, 64))),
@@ -93,6 +104,9 @@ def labelled_findings(n: int = SAMPLE, seed: int = 42) -> list[tuple[str, str, s
         lambda: (prose(), "eyJ" + pick(alnum, 30) + "." + pick(alnum + "_-", 60) + "." + pick(alnum + "_-", 43)),
         lambda: (prose(), "-----BEGIN " + r.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----"),
         lambda: (prose() + "Authorization: Bearer ", pick(alnum, r.randint(24, 64))),
+        lambda: (prose() + r.choice(["", name() + sign()]), pem()),
+        lambda: (prose() + name() + sign(), pick(alnum + r.choice(["", "+/", "-_"]), r.randint(100, 3000))),
+        lambda: (prose(), r.choice(["ghp_", "xoxb-", "sk-", "eyJ" + pick(alnum, 40) + "."]) + pick(alnum, r.randint(100, 3000))),
     ]
     false = [
         lambda: (prose() + name() + sign(), r.choice(DICTIONARY) + r.choice(DICTIONARY)),
@@ -108,6 +122,8 @@ def labelled_findings(n: int = SAMPLE, seed: int = 42) -> list[tuple[str, str, s
         lambda: (prose() + name() + sign(), word() + word()),
         lambda: (prose() + name() + sign(), r.choice(["None", "null,", "process.env.", "os.environ", "getenv(", "config.", "self."]) + r.choice(DICTIONARY)),
         lambda: (prose() + "for example ", "AKIA" + pick("ABCDEFGH", 9) + "EXAMPLE"),
+        lambda: (prose() + r.choice(["data:image/png;base64,", "<svg d=", ""]), pick(alnum + "+/", r.randint(100, 3000))),
+        lambda: (prose(), r.choice(["", "-", "_"]).join(word() for _ in range(r.randint(30, 300)))),
     ]
     out = []
     for i in range(n):
