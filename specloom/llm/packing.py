@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences by bin completion.
 
 All that packing depends on is how many pieces there are of each length, a table with at most ``capacity`` rows whatever
-the input. The search runs on that table: around the longest piece left, fillings of the rest of the bin are enumerated
-branch by branch; a branch is cut when the space it must leave exceeds the best waste found (waste bound), and of equal
-waste the filling of fewer, larger pieces is kept (a filling is dominated if merging its pieces into a larger one fits
-too). The best-fit filling is the first incumbent. The chosen filling is then used as often as the counts allow, so the
-work grows with the number of lengths, not with the number of pieces.
+the input. Two packings of that table are incumbents: best fit decreasing, and bins filled with the least waste around
+the largest piece left (an exact sum over lengths). A branch and bound betters them: it branches over the undominated
+fillings around the largest piece left and how often each is used, and cuts what wastes more than a packing of fewer
+bins could. It ends at a lower bound of the bins, when no better packing exists, or after a set number of steps without
+one; bin packing is NP-hard, so a large table may end that way, with the best packing found. Equal bins are handled at
+once, so the work grows with the number of lengths, not with the number of pieces.
 
 Pieces get their places without ranking a whole length in one task: ranks are counted per (length, bucket of doc_id),
 and the buckets' starts are summed over a table of bounded size.
@@ -19,7 +20,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -128,48 +128,152 @@ def _pieces(path: str, capacity: int, end: int):
     return run
 
 
-def fill(space: int, lengths: list[int], counts: dict[int, int], nodes: int = 20_000) -> list[int]:
-    """The filling of space from ascending lengths (at most counts of each) that wastes least, by branch and bound.
+def _reach(space: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """Per i, the sums up to space that the first i of lengths (at most counts of each) can make, as bits."""
+    full, out = (1 << (space + 1)) - 1, [1]
+    for x in lengths:
+        bits, n, k = out[-1], min(counts[x], space // x), 1
+        while n > 0:  # counts as powers of two and a rest
+            k = min(k, n)
+            bits |= bits << k * x & full
+            n, k = n - k, 2 * k
+        out.append(bits)
+    return out
+
+
+def fill(space: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """The filling of space from ascending lengths (at most counts of each) that wastes least; of these, the one of larger pieces."""
+    reach, best = _reach(space, lengths, counts), []
+    want = reach[-1].bit_length() - 1
+    for i in range(len(lengths) - 1, -1, -1):
+        x = lengths[i]
+        k = min(counts[x], want // x)
+        while not reach[i] >> (want - k * x) & 1:
+            k -= 1
+        best += [x] * k
+        want -= k * x
+    return best
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The best-fit-decreasing packing, for all bins of equal contents at once."""
+    rooms: dict[int, list[tuple[list[int], int]]] = {}
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n > 0:
+            room = min((r for r in rooms if r >= x), default=capacity)
+            held, times = rooms[room].pop() if room in rooms else ([], n)
+            if room in rooms and not rooms[room]:
+                del rooms[room]
+            k = min(room // x, n)
+            used = min(times, n // k)
+            if held and times > used:
+                rooms.setdefault(room, []).append((held, times - used))
+            rooms.setdefault(room - k * x, []).append(([*held, *[x] * k], used))
+            n -= k * used
+    return [b for r in sorted(rooms) for b in rooms[r]]
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound of the number of bins: the space of the pieces, with the space that no small piece can share."""
+    best = -(-sum(x * n for x, n in counts.items()) // capacity)
+    for k in {0, *(x for x in counts if 2 * x <= capacity)}:
+        large = sum(n for x, n in counts.items() if x > capacity - k)
+        middle = [(x, n) for x, n in counts.items() if capacity // 2 < x <= capacity - k]
+        bins = sum(n for _, n in middle)
+        small = sum(x * n for x, n in counts.items() if k <= x <= capacity // 2)
+        over = small - (bins * capacity - sum(x * n for x, n in middle))
+        best = max(best, large + bins + max(0, -(-over // capacity)))
+    return best
+
+
+def fillings(space: int, left: dict[int, int], slack: int, steps: list[int]):
+    """All undominated fillings of space that waste at most slack, those of larger pieces first; steps[0] counts down.
 
-    nodes bounds the search per bin; the incumbent, best-fit at first, is what is left if it ends early.
+    A filling is dominated if a piece left over fits in what it wastes, or in that and the place of a smaller piece of it.
     """
-    best: list[int] = []
-    room, left = space, dict(counts)
-    while room:  # best fit: the largest piece that still fits
-        i = bisect_right(lengths, room) - 1
-        while i >= 0 and left[lengths[i]] == 0:
-            i -= 1
-        if i < 0:
-            break
-        best.append(lengths[i])
-        left[lengths[i]] -= 1
-        room -= lengths[i]
-    waste, steps = room, 0
-    stack = [(space, bisect_right(lengths, space) - 1, [])]
-    while stack and waste:
+    lengths = sorted(x for x, n in left.items() if n > 0 and x <= space)
+    reach = _reach(space, lengths, left)
+    stack = [(space, len(lengths), [])]
+    while stack and steps[0] > 0:
         room, i, chosen = stack.pop()
-        steps += 1
-        if steps > nodes:
+        steps[0] -= 1
+        if room <= slack and not any(c < y <= c + room and left[y] > chosen.count(y) for c in {0, *chosen} for y in lengths):
+            yield chosen, room
+        for j in range(i):  # the stack turns the order
+            x = lengths[j]
+            for k in range(1, min(left[x], room // x) + 1):
+                r = room - k * x
+                if reach[j] >> max(0, r - slack) & ((1 << (min(r, slack) + 1)) - 1):
+                    stack.append((r, j, [*chosen, *[x] * k]))
+
+
+def complete(counts: dict[int, int], capacity: int, most: int, nodes: int) -> list[tuple[list[int], int]] | None:
+    """A packing in at most most bins, or None if there is none or it is not found within nodes steps.
+
+    Branches over the undominated fillings around the largest piece left and how often each is used; the waste of all
+    bins together can be most * capacity less the pieces, and what would waste more is cut.
+    """
+    steps, seen = [nodes], {}
+
+    def choices(left, slack):
+        top = max(left)
+        rest = left | {top: left[top] - 1}
+        for f, w in fillings(capacity - top, rest, slack, steps):
+            bin_ = sorted([top, *f], reverse=True)
+            times = min(left[x] // bin_.count(x) for x in set(bin_))
+            for t in range(min(times, slack // w) if w else times, 0, -1):
+                yield bin_, t, w * t
+
+    slack = most * capacity - sum(x * n for x, n in counts.items())
+    if slack < 0:
+        return None
+    path, states, open_ = [], [(counts, slack)], [choices(counts, slack)]
+    while open_ and steps[0] > 0:
+        steps[0] -= 1
+        step = next(open_[-1], None)
+        if step is None:
+            open_.pop()
+            states.pop()
+            if path:
+                path.pop()
+            continue
+        bin_, t, w = step
+        left, slack = states[-1]
+        left = {x: n - t * bin_.count(x) for x, n in left.items() if n > t * bin_.count(x)}
+        slack -= w
+        if not left:
+            return [*path, (bin_, t)]
+        key = tuple(sorted(left.items()))
+        if seen.get(key, -1) >= slack:
+            continue
+        seen[key] = slack
+        path.append((bin_, t))
+        states.append((left, slack))
+        open_.append(choices(left, slack))
+    return None
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[list[int], int]]:
+    """(lengths in a bin, number of such bins) that hold all pieces. counts: pieces per length.
+
+    The better of best fit and of the fullest bins first, bettered by branch and bound until the lower bound is met, no
+    better packing exists, or nodes steps were taken without one (then it is not proven that none exists).
+    """
+    counts = {k: v for k, v in counts.items() if v > 0}
+    size = lambda bins: sum(t for _, t in bins)
+    best = min(fullest(counts, capacity), best_fit(counts, capacity), key=size)
+    bound = least_bins(counts, capacity)
+    while size(best) > bound:
+        better = complete(counts, capacity, size(best) - 1, nodes)
+        if better is None:
             break
-        if room < waste or (room == waste and len(chosen) < len(best)):
-            waste, best = room, chosen
-            if not waste:
-                break
-        options = []
-        while i >= 0:
-            x = lengths[i]
-            used = chosen.count(x)
-            if used < counts[x] and x <= room:
-                options.append((room - x, min(i, bisect_right(lengths, room - x) - 1), [*chosen, x]))
-                if len(options) == 64 and lengths[0] <= room - x:
-                    break  # smaller pieces here only lead to more pieces for the same space
-            i -= 1
-        stack.extend(reversed(options))
+        best = better
     return best
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths in a bin, number of such bins) that hold all pieces. counts: pieces per length."""
+def fullest(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """A packing that fills the bin of the largest piece left with the least waste, as often as the counts allow."""
     left = {k: v for k, v in counts.items() if v > 0}
     lengths, out = sorted(left), []
     while lengths:

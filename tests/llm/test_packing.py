@@ -54,3 +54,40 @@ def test_pack(spark):
             at += n
         assert at <= 1024
     assert packing.pack(docs.limit(0), packing.tokenizer_path()).count() == 0
+
+
+def size(bins):
+    return sum(t for _, t in bins)
+
+
+def test_plan_branches_on_fillings():
+    bins = packing.plan({676: 51, 539: 14, 372: 44, 238: 22, 198: 54}, 1024)
+    assert size(bins) <= 82  # the fullest bins first, used as often as the counts allow, give 86
+    assert sum((Counter({k: n * t for k, n in Counter(b).items()}) for b, t in bins), Counter()) == {676: 51, 539: 14, 372: 44, 238: 22, 198: 54}
+
+
+def test_plan_is_optimal_on_small_tables():
+    def least(pieces, bins=()):  # brute force
+        if not pieces:
+            return len(bins)
+        x, rest = pieces[0], pieces[1:]
+        fits = {b for b in bins if b + x <= 20}
+        swap = lambda b: tuple(sorted([*bins[: bins.index(b)], *bins[bins.index(b) + 1 :], b + x]))
+        return min([least(rest, swap(b)) for b in fits] + [least(rest, (*bins, x))])
+
+    r = random.Random(9)
+    for _ in range(60):
+        pieces = sorted((r.randint(2, 14) for _ in range(r.randint(1, 7))), reverse=True)
+        bins = packing.plan(dict(Counter(pieces)), 20)
+        assert size(bins) == least(pieces) >= packing.least_bins(Counter(pieces), 20)
+
+
+def test_fill_is_exact():
+    r = random.Random(10)
+    for _ in range(200):
+        counts = {r.randint(3, 60): r.randint(1, 4) for _ in range(6)}
+        sums = {0}
+        for x, n in counts.items():
+            sums = {s + k * x for s in sums for k in range(n + 1)}
+        got = packing.fill(100, sorted(counts), counts)
+        assert sum(got) == max(s for s in sums if s <= 100) and not Counter(got) - Counter(counts)
