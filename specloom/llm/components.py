@@ -1,7 +1,8 @@
 """Connected components over an edge table, by alternating large and small stars.
 
 Every round is two aggregates (min per node, combined on the map side) and two equi-joins; no neighbour list is ever
-collected and nothing but two counters reaches the driver. Rounds grow with the logarithm of the longest chain.
+collected and nothing but two counters reaches the driver. Nodes with many neighbours are dealt over several tasks.
+Rounds grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -12,28 +13,31 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with u > v. Link each node's (large: greater) neighbours to its least neighbour."""
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """edges: n rows (u, v) with u > v. Link each node's (large: greater) neighbours to its least neighbour."""
     if large:
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        pairs = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("_size")).select("u", F.least("u", "m").alias("m"), "_size").where("_size > 0")
+        pairs = common.join_dealt(around.where("v > u"), least, "u", "_size", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_size"))
+        pairs = common.join_dealt(edges, least, "u", "_size", n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     return pairs.where("u > v").distinct()
 
 
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge that is not the least of its component. edges: (a, b), any direction."""
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     now = common.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    before = None
+    mark = count(now)
     while True:
-        after = common.cut(_star(_star(now, True), False))
-        common.drop(now)
-        now = after
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        half = common.cut(_star(now, mark["n"], True))
+        after = common.cut(_star(half, half.count(), False))
+        common.drop(now, half)
+        now, before = after, mark
+        mark = count(now)
         if mark == before:
             break
-        before = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._specloom_path = now._specloom_path
+    return out

@@ -3,17 +3,18 @@
 Fingerprints are compared once per distinct value. A pivot table holds each fingerprint's Hamming distances to many
 reference fingerprints. By the triangle inequality a pair within ``bits`` of each other differs by at most ``bits`` in
 every coordinate, so a pair whose greatest coordinate difference is larger is discarded unseen; survivors are verified
-exactly.
+exactly. The table is computed once, beside the distinct fingerprints, and travels with them as one byte per pivot.
 
 Which pairs meet at all is decided by the same coordinates: for the reference 0 and the references with a single bit
 set, the difference of two coordinates is that bit, and the bits of a section of the word are the section's coordinates.
 With s sections, at most ``bits`` of them hold a differing bit, so a linked pair agrees on all coordinates of at least
 s - bits sections: cells keyed by every choice of s - bits sections lose no pair. s grows with the logarithm of the
-number of distinct fingerprints, so that cells keep a bounded expected size while the table grows.
+number of distinct fingerprints (6 sections up to 2 million, 9 up to 34 thousand million), so that cells keep a bounded
+expected size while the table grows.
 
 A cell that a group of near copies fills is cut into blocks of bounded size, and each pair of blocks is its own unit of
 work, so no task holds an unbounded cell. A unit emits a spanning forest of its links, never all its pairs, which keeps
-components exact and the output linear.
+components exact and the output linear. Fingerprints and roots that many rows share are dealt over several tasks.
 
 Defined results: null text is an empty one (no words: fingerprint zero, linked like any other); documents with equal
 fingerprints are linked; a row without doc_id gets the component of its fingerprint (null if nothing else has one).
@@ -72,7 +73,7 @@ def _fingerprints(shingle: int):
 def sections(n: int, bits: int = BITS) -> list[int]:
     """Masks of the cell keys for about n distinct fingerprints: each choice of s - bits of s sections."""
     s = bits + 2
-    while s < bits + 5 and (1 << (64 * (s - bits) // s)) < n:
+    while s < 64 and (1 << (64 * (s - bits) // s)) < n:
         s += 1
     edges = [round(64 * i / s) for i in range(s + 1)]
     one = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
@@ -83,12 +84,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(left: np.ndarray, right: np.ndarray | None, bits: int = BITS, table: np.ndarray | None = None, rows: int = 256):
-    """Index pairs (i, j) within bits: within left (i < j), or from left to right. Pivot filter first, then exact."""
+def coordinates(fps: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """The pivot table of fps: a row of Hamming distances to the pivots each."""
     table = pivots() if table is None else table
+    return np.bitwise_count(fps[:, None] ^ table[None, :]).astype(np.uint8)
+
+
+def _coordinates(batches):
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        d = coordinates(fp)
+        rows = pa.Array.from_buffers(pa.binary(d.shape[1]), len(fp), [None, pa.py_buffer(d.tobytes())]).cast(pa.binary())
+        yield pa.record_batch([*batch.columns, rows], names=[*batch.schema.names, "pivots"])
+
+
+def links(left: np.ndarray, right: np.ndarray | None, bits: int = BITS, a: np.ndarray | None = None, b: np.ndarray | None = None, rows: int = 256):
+    """Index pairs (i, j) within bits: within left (i < j), or from left to right. a, b: their pivot tables.
+
+    Pairs are discarded by their greatest coordinate difference, coordinate after coordinate, then verified exactly.
+    """
     same = right is None
     right = left if same else right
-    a, b = (np.bitwise_count(x[:, None] ^ table[None, :]).astype(np.int8) for x in (left, right))
+    a = coordinates(left) if a is None else a
+    b = a if same else coordinates(right) if b is None else b
+    a, b = a.astype(np.int8), b.astype(np.int8)
     for i in range(0, len(left), rows):
         keep = np.ones((min(rows, len(left) - i), len(right)), dtype=bool)
         for k in range(2):
@@ -98,16 +117,15 @@ def links(left: np.ndarray, right: np.ndarray | None, bits: int = BITS, table: n
         if same:
             later = y > x
             x, y = x[later], y[later]
-        for k in range(2, len(table)):
+        for k in range(2, a.shape[1]):
             near = np.abs(a[x, k] - b[y, k]) <= bits
-            if len(near) > 4096 and near.mean() > 0.9:
-                break
-            x, y = x[near], y[near]
+            if not near.all():
+                x, y = x[near], y[near]
         near = np.bitwise_count(left[x] ^ right[y]) <= bits
         yield x[near], y[near]
 
 
-def _forest(fps: np.ndarray, side: np.ndarray, diagonal: bool, bits: int) -> np.ndarray:
+def _forest(fps: np.ndarray, table: np.ndarray, side: np.ndarray, diagonal: bool, bits: int) -> np.ndarray:
     """A spanning forest (as rows of two fingerprints) of the links of a block or between two blocks."""
     parent = list(range(len(fps)))
 
@@ -119,10 +137,10 @@ def _forest(fps: np.ndarray, side: np.ndarray, diagonal: bool, bits: int) -> np.
 
     if diagonal:
         l = r = np.arange(len(fps))
-        found = links(fps, None, bits)
+        found = links(fps, None, bits, table)
     else:
         l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = links(fps[l], fps[r], bits)
+        found = links(fps[l], fps[r], bits, table[l], table[r])
     root = np.arange(len(fps))
     out = []
     for x, y in found:
@@ -139,7 +157,7 @@ def _forest(fps: np.ndarray, side: np.ndarray, diagonal: bool, bits: int) -> np.
 
 
 def _units(bits: int):
-    """Sorted rows (table, key, i, j, side, fp) as batches: each run of equal (table, key, i, j) is a unit."""
+    """Sorted rows (table, key, i, j, side, fp, pivots) as batches: each run of equal (table, key, i, j) is a unit."""
 
     def run(batches):
         held: list = []
@@ -147,24 +165,26 @@ def _units(bits: int):
         def flush():
             if held:
                 fp = np.concatenate([h[0] for h in held]).view(np.uint64)
-                side = np.concatenate([h[1] for h in held])
-                e = _forest(fp, side, held[0][2], bits).view(np.int64)
+                table = np.frombuffer(b"".join(x for h in held for x in h[1]), dtype=np.uint8).reshape(len(fp), -1)
+                side = np.concatenate([h[2] for h in held])
+                e = _forest(fp, table, side, held[0][3], bits).view(np.int64)
                 held.clear()
                 if len(e):
                     yield pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
 
         last = None
         for batch in batches:
-            t, key, i, j, side, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            t, key, i, j, side, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:6])
             if not len(t):
                 continue
+            tables = batch.column(6).to_pylist()
             edge = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for x, y in zip(np.r_[0, edge], np.r_[edge, len(t)]):
                 now = (t[x], key[x], i[x], j[x])
                 if now != last:
                     yield from flush()
                     last = now
-                held.append((fp[x:y], side[x:y], i[x] == j[x]))
+                held.append((fp[x:y], tables[x:y], side[x:y], i[x] == j[x]))
         yield from flush()
 
     return run
@@ -176,30 +196,35 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def near_links(nodes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between distinct fingerprints that span the same components as all links. nodes: (fp, ...)."""
-    masks = [_signed(m) for m in sections(nodes.count(), bits)]
+def near_links(nodes: DataFrame, n: int, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between distinct fingerprints that span the same components as all links. nodes: n rows of fp and
+    pivots. Units are dealt over a set number of partitions, so that few bytes are not taken for little work."""
+    masks = [_signed(m) for m in sections(n, bits)]
     keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-    cells = nodes.select("fp", F.explode(keys).alias("c")).select("c.t", "c.key", "fp")
+    cells = nodes.select("fp", "pivots", F.explode(keys).alias("c")).select("c.t", "c.key", "fp", "pivots")
     full = cells.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
-    member = cells.join(full, ["t", "key"]).select("t", "key", "fp", parts.alias("k"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("c"))
+    member = cells.join(full, ["t", "key"]).select("t", "key", "fp", "pivots", parts.alias("k"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("c"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    unit = member.select("t", "key", "fp", "c", other).select("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side"), "fp")
-    dealt = unit.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
+    unit = member.select("t", "key", "fp", "pivots", "c", other).select("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side"), "fp", "pivots")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = unit.repartition(tasks, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
     return dealt.mapInArrow(_units(bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, fp, component_id (the smallest doc_id that links reach, its own included)."""
     prints = common.cut(fingerprints(docs, shingle))
-    nodes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components.roots(near_links(nodes, bits))
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = common.cut(rooted.join(named, "root").select(F.col("fp").alias("print"), "component_id"))
-    common.release(docs.sparkSession)
-    return prints.join(of_print, prints.fp == of_print["print"]).select("doc_id", "fp", "component_id")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = common.cut(distinct.mapInArrow(_coordinates, "fp long, least long, copies long, pivots binary"))
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    found = components.roots(near_links(nodes, size["n"], bits))
+    rooted = common.cut(nodes.join(found, nodes.fp == found.node, "left").select(F.col("fp").alias("print"), "least", "copies", F.coalesce("root", "fp").alias("root")))
+    common.drop(found, nodes)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_size"))
+    of_print = common.cut(common.join_dealt(rooted.drop("least"), named, "root", "_size", size["n"]).select(F.col("print").alias("fp"), "component_id", "copies"))
+    common.drop(rooted)
+    return common.join_dealt(prints, of_print, "fp", "copies", size["rows"]).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
