@@ -1,27 +1,34 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base features are counted per text. Rules compare a ratio of them with a cutoff. Which cutoff a rule may use in a
-stratum (language) is decided on labelled holdout documents: a cutoff is admissible if the exact binomial tail
-P(X <= rejected good documents | good documents, alpha / rules) is at most delta / tests, that is, if the exact
-(Clopper-Pearson) upper bound on the false rejection rate stays within the rule's share of alpha. tests counts every
-(stratum, rule, cutoff), so all chosen cutoffs hold together with probability 1 - delta (Bonferroni), and the rules'
-shares of alpha add up to alpha per stratum. Of the admissible cutoffs the one that rejects most bad holdouts is taken;
-without one the rule is off in that stratum.
+stratum (language) is decided on labelled holdout documents. A cutoff's p-value is the exact binomial tail
+P(X <= rejected good documents | good documents, alpha / rules): if it is at most some level, the exact
+(Clopper-Pearson) upper bound of that confidence on the false rejection rate stays within the rule's share of alpha, and
+the rules' shares add up to alpha per stratum.
+
+The cutoffs of a rule are nested, so they are tested in a fixed sequence from the loosest on and testing stops at the
+first that fails; such a chain needs no correction inside. Over the chains (every rule in every stratum) the level delta
+is spent once, by Holm's step-down: each of m chains has delta / m, and a chain that passes to its end hands its level
+to those still open, so with k passed chains the others have delta / (m - k). All chosen cutoffs hold together with
+probability 1 - delta at least. Of the cutoffs passed the one that rejects most bad holdouts is taken (the loosest of
+equals); a rule that passes none, or rejects no bad holdout, is off in that stratum.
 
 Defined results: null text is an empty one (base_failed); a null language is a stratum of its own; labels without a
-quality or without a document say nothing; repeated labels count as often as they occur.
+quality or without a document say nothing; repeated labels count as often as they occur; without labels every rule is
+off; a stratum without labels has all rules off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+ and the counted symbols (fixed values).
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
-ALPHA, DELTA = 0.01, 0.1
+#: Of a stratum's good documents at most this share may be rejected, with this risk that some cutoff breaks it.
+ALPHA, DELTA = 0.02, 0.1
 #: Rule: ratio of base features, and the cutoffs above which a text would be rejected.
 RULES = {
     "symbols": (("n_symbols", "n_words"), (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)),
@@ -89,25 +96,39 @@ def thresholds(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     """(stratum, symbols, word_length, ...): the chosen cutoff of each rule, null where the rule is off."""
     held = labels.select(F.col("doc_id").alias("_l_id"), F.col("quality").alias("_l_quality")).where("_l_quality is not null")
     rows = features.where(~base_failed()).join(held, F.col("doc_id") == F.col("_l_id"))
-    tests = [(rule, i, c) for rule, (_, cutoffs) in RULES.items() for i, c in enumerate(cutoffs)]
     good = F.col("_l_quality") == 1
     counts = [F.count_if(good).alias("good")]
-    for rule, i, c in tests:
-        counts += [F.count_if(good & (_ratio(rule) > c)).alias(f"{rule}_{i}_good"), F.count_if(~good & (_ratio(rule) > c)).alias(f"{rule}_{i}_bad")]
-    found = rows.groupBy("stratum").agg(*counts)
-    share = alpha / len(RULES)
-    found = common.cut(found)  # one row per stratum
-    strata = found.count()
-    out = []
     for rule, (_, cutoffs) in RULES.items():
-        options = []
         for i, c in enumerate(cutoffs):
-            k, n = F.col(f"{rule}_{i}_good"), F.col("good")
-            safe = (n > 0) & (k < n * share)  # beyond the mean no exact bound can hold; skips long sums
-            sure = F.when(safe, binomial_cdf(k, n, share)).otherwise(F.lit(1.0)) <= F.lit(delta / max(1, strata * len(tests)))
-            options.append(F.when(sure & (F.col(f"{rule}_{i}_bad") > 0), F.struct(F.col(f"{rule}_{i}_bad").alias("bad"), F.lit(float(c)).alias("cut"))))
-        out.append(F.array_max(F.array(*options))["cut"].alias(rule))
-    return found.select("stratum", *out)
+            counts += [F.count_if(good & (_ratio(rule) > c)).alias(f"{rule}_{i}_good"), F.count_if(~good & (_ratio(rule) > c)).alias(f"{rule}_{i}_bad")]
+    found = common.cut(rows.groupBy("stratum").agg(*counts))  # one row per stratum
+    chains = None
+    for rule, (_, cutoffs) in RULES.items():
+        loosest_first = sorted(enumerate(cutoffs), key=lambda x: -x[1])
+        tests = [F.struct(_tail(F.col(f"{rule}_{i}_good"), F.col("good"), alpha / len(RULES)).alias("p"), F.col(f"{rule}_{i}_bad").alias("bad"), F.lit(float(c)).alias("cut")) for i, c in loosest_first]
+        chain = found.select("stratum", F.lit(rule).alias("rule"), F.array(*tests).alias("tests"))
+        chains = chain if chains is None else chains.unionByName(chain)
+    chosen = holm(chains, delta)
+    cuts = chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut"))
+    return cuts.select("stratum", *RULES)
+
+
+def _tail(k: Column, n: Column, p: float) -> Column:
+    """The p-value of "the rate is above p" for k of n; 1 where no exact bound can hold (k at the mean or above)."""
+    return F.when((n > 0) & (k < n * p), F.least(F.lit(1.0), binomial_cdf(k, n, p))).otherwise(F.lit(1.0))
+
+
+def holm(chains: DataFrame, delta: float) -> DataFrame:
+    """(stratum, rule, cut) per chain of tests (array of p, bad, cut; loosest first). One row per stratum and rule."""
+    total, order = Window.partitionBy(), Window.partitionBy().orderBy("_worst", "rule", F.col("stratum").asc_nulls_first())
+    m = F.count(F.lit(1)).over(total)
+    ranked = chains.withColumn("_worst", F.array_max(F.transform("tests", lambda x: x["p"]))).withColumns({"_m": m, "_rank": F.row_number().over(order)})
+    ranked = ranked.withColumn("_ok", F.min((F.col("_worst") <= delta / (F.col("_m") - F.col("_rank") + 1)).cast("int")).over(order))
+    ranked = ranked.withColumn("_level", delta / F.greatest(F.lit(1), F.col("_m") - F.sum("_ok").over(total)))
+    fails = F.array_position(F.transform("tests", lambda x: (x["p"] > F.col("_level")) & (F.col("_ok") == 0)), True)
+    passed = F.slice("tests", 1, F.when(fails > 0, fails - 1).otherwise(F.size("tests")).cast("int"))
+    options = F.transform(F.filter(passed, lambda x: x["bad"] > 0), lambda x: F.struct(x["bad"].alias("bad"), x["cut"].alias("cut")))
+    return ranked.select("stratum", "rule", F.array_max(options)["cut"].alias("cut"))
 
 
 def judge(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -129,5 +150,30 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _sql() -> str:
+    """The counts, the tests of all cutoffs and the verdict in DuckDB SQL."""
+    ratios = {rule: f"{top}::DOUBLE / greatest({bottom}, 1)" for rule, ((top, bottom), _) in RULES.items()}
+    tests = " UNION ALL ".join(f"SELECT '{rule}' AS rule, {-c!r} AS o, {c!r} AS cut, doc_id, {ratio} > {c!r} AS hit FROM b" for rule, (_, cutoffs) in RULES.items() for ratio in [ratios[rule]] for c in map(float, cutoffs))
+    share = ALPHA / len(RULES)
+    rejected = " OR ".join(f"coalesce({ratios[rule]} > (SELECT any_value(cut) FROM chosen WHERE rule = '{rule}' AND stratum IS NOT DISTINCT FROM b.stratum), false)" for rule in RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT r, i, w[i:i + 2] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, unnest(list(i)) AS i FROM g GROUP BY r, k HAVING count(*) > 1), (SELECT unnest([0, 1, 2]) AS j) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+b AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM d JOIN l USING (r) LEFT JOIN c USING (r)),
+held AS (SELECT b.doc_id, stratum, quality = 1 AS good FROM b JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed),
+tests AS ({tests}),
+counts AS (SELECT stratum, rule, o, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k, count(*) FILTER (NOT good AND hit) AS bad FROM held JOIN (SELECT DISTINCT * FROM tests) USING (doc_id) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN n > 0 AND k < n * {share!r} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) ELSE 1.0 END AS p FROM counts),
+worst AS (SELECT stratum, rule, max(p) AS worst, count(*) OVER () AS m, row_number() OVER (ORDER BY max(p), rule, stratum NULLS FIRST) AS rank FROM p GROUP BY stratum, rule),
+ok AS (SELECT *, bool_and(worst <= {DELTA!r} / (m - rank + 1)) OVER (ORDER BY rank) AS ok FROM worst),
+level AS (SELECT *, {DELTA!r} / greatest(1, m - count(*) FILTER (ok) OVER ()) AS level FROM ok),
+passed AS (SELECT p.*, bool_and(ok OR p <= level) OVER (PARTITION BY p.stratum, p.rule ORDER BY o) AS passed FROM p JOIN level ON p.rule = level.rule AND p.stratum IS NOT DISTINCT FROM level.stratum),
+chosen AS (SELECT stratum, rule, arg_max(cut, struct_pack(bad := bad, cut := cut)) AS cut FROM passed WHERE passed AND bad > 0 GROUP BY stratum, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept FROM b"""
+
+
 QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": _sql()}
