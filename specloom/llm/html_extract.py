@@ -6,8 +6,14 @@ potentials between parent and child are counted, with smoothing, on labelled pag
 upward and once downward, gives every node's marginal; the text blocks of nodes whose content marginal is at least one
 half are the main text.
 
+Elements without text of the article (scripts, form controls, fallbacks of media) are left out whole. Those that HTML
+reads as raw text run to the end of the page if they are not closed; of the others an unclosed or self-closing tag is
+passed over, and what follows it is read on. Text inside svg, math and object is kept like any other (an svg's title
+and description are not). A head ends at its end tag, at body, or at the first tag or text that cannot stand in it.
+
 Defined results: null and empty html give an empty text; white space is what str.isspace counts; broken markup is read
-leniently (implied end tags, end of input closes all); line breaks within a block are white space.
+leniently (implied end tags, end of input closes all); line breaks within a block are white space; repeated rows are
+rows of their own; columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +32,17 @@ from . import common
 #: Kinds of elements (fixed values of the HTML standard).
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object select button datalist audio video canvas".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+LEFT_OUT = frozenset("noscript template select button datalist audio video canvas desc".split())
+PHRASING = frozenset("select button datalist".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript template noframes".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "thead": ("caption",)}
 WALLS = frozenset("ul ol dl table body html div section article".split())
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ENDS = {t: re.compile(r"</" + t + r"(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW | LEFT_OUT}
+_NEXT = {t: re.compile(r"<(/?)(" + "|".join(sorted({t} | (BLOCKS if t in PHRASING else frozenset()), key=lambda x: (-len(x), x))) + r")(?=[\s/>])", re.I) for t in LEFT_OUT}
 _LABEL = re.compile(r"data-label=\"([01])\"")
 _WORD = re.compile(r"[a-z]+")
 
@@ -82,8 +93,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     while True:
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not head:
-            buffer.append((page[at:end], linked > 0))
+        if end > at:
+            head = head and not page[at:end].strip()
+            if not head:
+                buffer.append((page[at:end], linked > 0))
         if not m:
             break
         at = m.end()
@@ -91,15 +104,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if head and tag not in IN_HEAD:
+            head = False
         if tag == "head":
             head = not closing
         elif tag in RAW and not closing:
-            stop = re.compile(r"</" + re.escape(tag) + r"(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            stop = _ENDS[tag].search(page, at)
             at = stop.end() if stop else len(page)
-            if tag not in ("svg", "math", "button", "select", "object"):
+            buffer.append((" ", False))
+        elif tag in LEFT_OUT and not closing:
+            at = _left_out(page, at, tag)
+            if tag not in PHRASING:
                 buffer.append((" ", False))
-        elif tag == "body" and not closing:
-            head = False
         elif tag == "a":
             linked = 0 if closing else 1
         elif tag in ("br", "wbr", "img"):
@@ -131,6 +147,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, blocks
 
 
+def _left_out(page: str, at: int, tag: str) -> int:
+    """Where an element that is left out ends; at itself if it is not closed before another begins (or a block, in a
+    form control, which can hold none). Templates may hold each other."""
+    depth = 1
+    for m in _NEXT[tag].finditer(page, at):
+        if m[2].lower() != tag or (not m[1] and tag != "template"):
+            break
+        depth += -1 if m[1] else 1
+        if not depth:
+            return _ENDS[tag].match(page, m.start()).end()
+    return at
+
+
 def evidence(n: Node) -> list[tuple[str, str]]:
     """The observed features of a node as (kind, value)."""
     share = n.linked / n.chars if n.chars else 0.0
