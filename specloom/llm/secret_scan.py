@@ -6,7 +6,8 @@ transitions, dictionary coverage, path and neighbouring words decides. The fores
 then written out as nested CASE expressions, so scoring stays inside the row: no explode, no shuffle, no Python.
 
 Defined results: null text has no findings and stays null; candidates are leftmost and do not overlap; spans count
-code points from 0; the same secret twice is two findings.
+code points from 0; the same secret twice is two findings; candidates have no greatest length, and so any white space
+may stand around an assignment's sign; a row without doc_id is scanned like any other, repeated rows each.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ PEM = (
 PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}[0-9A-Za-z]*+|gh[pousr]_[0-9A-Za-z]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|sk[-_][0-9A-Za-z_-]{20,}+|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+(?:\.[0-9A-Za-z_-]{4,}+){0,3}|" + PEM
 #: A whole name (possibly behind a path) whose last part holds a word of NAMES, and the sign; tried where a run of name
 #: characters begins, so that each is read a bounded number of times and a long name is not taken for a RUN.
-ASSIGNED = r"(?:(?<![\w+/-])|\G)(?=[\w+/-]++[\"']?\s{0,4}[=:])(?!" + PREFIXED + r")(?:[\w-]*+[+/]++)*+(?=[\w-]*?(?i:" + NAMES + r"))[\w-]++[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?"
+ASSIGNED = r"(?:(?<![\w+/-])|\G)(?=[\w+/-]++[\"']?\s*+[=:])(?!" + PREFIXED + r")(?:[\w-]*+[+/]++)*+(?=[\w-]*?(?i:" + NAMES + r"))[\w-]++[\"']?\s*+(?:=|:|=>)\s*+[\"']?"
 RUN = r"[0-9A-Za-z+/_-]{20,}+={0,2}"
 VALUE = PEM + r"|[^\s\"'<>,;]{6,}+"
 CANDIDATE = r"(" + ASSIGNED + r")(" + VALUE + r")|(?<![0-9A-Za-z])(" + PREFIXED + r"|" + RUN + r")"
