@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from ..errors import ExpressionError
 from .typed import BOOL, DOUBLE, LONG, NULL, STRING, Typed, array, cast, common, equal, literal, null, number, raise_if, show_text, truthy
 
+#: Digits by row that round tells apart; a double has no more than 17, and none is as great as 10 ** 18 by halves here.
+MOST_DIGITS = 18
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -134,7 +136,7 @@ class _Compiler:
             raise ExpressionError(f"attribute {node.attr!r} is private")
         root = node.value.elts[0] if isinstance(node.value, ast.Set) and len(node.value.elts) == 1 else node.value
         if isinstance(root, ast.Name) and root.id not in self.scope.names and root.id not in ("NULL",):
-            raise ExpressionError(f"unknown {root.id!r} in '{root.id}.{node.attr}': no such source class, join, or slot")
+            raise ExpressionError(f"{root.id!r} of '{root.id}.{node.attr}' names nothing here: it is no slot, joined table or class of the source")
         return self._get(self.value(node.value), node.attr)
 
     def _get(self, v: Typed, attr: str) -> Typed:
@@ -282,7 +284,8 @@ class _Compiler:
         raise ExpressionError(f"'in' needs text, a list or a mapping, not {b.kind}")
 
     def _binop(self, node) -> Typed:
-        return arithmetic(type(node.op).__name__, self.value(node.left), self.value(node.right))
+        whole = isinstance(node.op, ast.Pow) and isinstance(constant(node.right), int) and constant(node.right) >= 0
+        return arithmetic(type(node.op).__name__, self.value(node.left), self.value(node.right), whole)
 
     def _call(self, node) -> Typed:
         if not isinstance(node.func, ast.Name):
@@ -294,6 +297,8 @@ class _Compiler:
             return self._case(node.args)
         if name == "slot":
             return self._slot(node.args)
+        if name == "round" and len(node.args) == 2:
+            return self._round(node.args)
         args = [self.value(a) for a in node.args]
         f, spreads = FUNCTIONS[name]
         if spreads and args and args[0].kind == "list":
@@ -302,6 +307,16 @@ class _Compiler:
             return Typed(F.transform(first.col, lambda x: f(first.element(x), *rest).col), T.ArrayType(kind))
         return f(*args)
 
+    def _round(self, args: list) -> Typed:
+        """round(x, digits): constant digits are folded from the syntax tree, others are taken row by row."""
+        v, known = self.value(args[0]), constant(args[1])
+        if isinstance(known, float):
+            raise ExpressionError("round takes a whole number of digits")
+        digits = known if known is not None else self.value(args[1])
+        if v.kind == "list":
+            return Typed(F.transform(v.col, lambda x: _round(v.element(x), digits).col), T.ArrayType(DOUBLE))
+        return _round(v, digits)
+
     def _case(self, arms: list) -> Typed:
         pairs = []
         for arm in arms:
@@ -323,6 +338,21 @@ class _Compiler:
         return found or null()
 
 
+def constant(node) -> int | float | None:
+    """The value of a number or of signs and arithmetic over numbers; None of anything else."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
+        return int(node.value) if isinstance(node.value, bool) else node.value
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+        v = constant(node.operand)
+        return v if v is None or isinstance(node.op, ast.UAdd) else -v
+    if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Sub, ast.Mult)):
+        a, b = constant(node.left), constant(node.right)
+        if a is None or b is None:
+            return None
+        return a + b if isinstance(node.op, ast.Add) else a - b if isinstance(node.op, ast.Sub) else a * b
+    return None
+
+
 def _guarded(v: Typed, other: Typed) -> Typed:
     """A number: numeric kinds as they are, numeric text parsed."""
     return number(v) if v.numeric or v.kind == "text" else Typed(F.lit(None).cast(DOUBLE), DOUBLE)
@@ -335,8 +365,12 @@ def _floor_div(a: Column, b: Column, whole: bool) -> Column:
     return quotient - F.when((b != 0) & ((a < 0) != (b < 0)) & (quotient * b != a), 1).otherwise(0)
 
 
-def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
-    """a op b; null if either is, and where the operands do not fit."""
+def arithmetic(op: str, a: Typed, b: Typed, whole_power: bool = False) -> Typed:
+    """a op b; null if either is, and where the operands do not fit.
+
+    An integer power is an integer if its exponent is known not to be negative (whole_power); of two integers whose
+    exponent differs by row it is one where the exponent is not negative, and such a column is of floats.
+    """
     if a.kind == "null" or b.kind == "null":
         return null()
     if a.kind == b.kind == "text" and op == "Add":
@@ -369,16 +403,24 @@ def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
         return Typed(F.when(q != 0, p - q * _floor_div(p, q, whole)), kind)
     if op == "Pow":
         power = F.pow(p.cast(DOUBLE), q.cast(DOUBLE))
-        if whole:
-            fits = (q >= 0) & (F.abs(power) < float(1 << 53))
-            return Typed(F.when(fits, power.cast(LONG)), LONG) if _literal_sign(b) else Typed(power, DOUBLE)
+        if whole and whole_power:
+            return Typed(_whole_power(p, q, power), LONG)
         return Typed(power, DOUBLE)
     raise ExpressionError(f"operator {op} is not part of the language")
 
 
-def _literal_sign(v: Typed) -> bool:
-    """Whether an exponent is a non-negative constant, so that an integer power stays an integer."""
-    return bool(re.fullmatch(r"Column<'(?:CAST\()?\d+(?: AS BIGINT\))?'>", str(v.col)))
+def _whole_power(p: Column, q: Column, power: Column) -> Column:
+    """p ** q in whole numbers, by squaring; null beyond 64 bits."""
+    one, step = F.lit(1).cast(LONG), F.sequence(F.lit(0), F.lit(62))
+    start = F.struct(one.alias("out"), p.cast(LONG).alias("base"))
+
+    def fold(acc, i):
+        used = F.call_function("getbit", q.cast(LONG), i) == 1
+        more = F.call_function("shiftright", q.cast(LONG), (i + 1).cast("int")) > 0
+        return F.struct(F.when(used, F.try_multiply(acc["out"], acc["base"])).otherwise(acc["out"]).alias("out"), F.when(more, F.try_multiply(acc["base"], acc["base"])).otherwise(acc["base"]).alias("base"))
+
+    exact = F.aggregate(step, start, fold)["out"]
+    return F.when(F.abs(power) < float(1 << 53), power.cast(LONG)).when(q >= 0, exact)
 
 
 # -- functions --------------------------------------------------------------------------------------------------------
@@ -426,8 +468,8 @@ def _int(v: Typed) -> Typed:
         return number(v)
     if v.kind == "float":
         return Typed(F.when(v.col >= 0, F.floor(v.col)).otherwise(F.ceil(v.col)).cast(LONG), LONG)
-    out = Typed(F.trim(v.col).try_cast(LONG), LONG)
-    return raise_if(v.col.isNotNull() & ~F.rlike(v.col, F.lit(r"^\s*[+-]?\d+\s*$")), "int() needs an integer", out)
+    out = Typed(F.btrim(v.col, F.lit(" \t\n\x0b\f\r")).try_cast(LONG), LONG)
+    return raise_if(v.col.isNotNull() & (~F.rlike(v.col, F.lit(r"^\s*[+-]?\d+\s*$")) | out.col.isNull()), "int() needs an integer of 64 bits", out)
 
 
 def _float(v: Typed) -> Typed:
@@ -437,16 +479,23 @@ def _float(v: Typed) -> Typed:
     return out if v.numeric else raise_if(v.col.isNotNull() & out.col.isNull(), "float() needs a number", out)
 
 
-def _round(v: Typed, digits: Typed | None = None) -> Typed:
+def _round(v: Typed, digits: Typed | int | None = None) -> Typed:
     if v.kind == "null":
         return null()
     n = number(v).col.cast(DOUBLE)
     if digits is None:
         return Typed(F.bround(n, 0).cast(LONG), LONG)
-    m = re.search(r"-?\d+", str(digits.col))
-    if digits.kind != "int" or not m:
-        raise ExpressionError("round takes a constant number of digits")
-    return Typed(F.bround(n, int(m[0])), DOUBLE)
+    if isinstance(digits, int):
+        return Typed(F.bround(n, digits), DOUBLE)
+    if digits.kind == "null":
+        return null()
+    if digits.kind not in ("int", "bool"):
+        raise ExpressionError("round takes a whole number of digits")
+    d = number(digits).col
+    out = F.when(d > MOST_DIGITS, n).when(d < -MOST_DIGITS, F.lit(0.0))
+    for k in range(-MOST_DIGITS, MOST_DIGITS + 1):
+        out = out.when(d == k, F.bround(n, k))
+    return Typed(out, DOUBLE)
 
 
 def _uuid5(namespace: Typed, name: Typed) -> Typed:

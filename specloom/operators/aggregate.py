@@ -26,9 +26,17 @@ def _numbers(v: Typed, how: str) -> Typed:
     return n
 
 
-def _mode_tie(first: bool, count: Column, position: Column) -> Column:
-    """The order by which the greatest is the mode: of equal counts the last first-seen value, or the first."""
-    return F.struct(count.alias("n"), (-position if first else position).alias("p"))
+def _distinct(items: Column, inner: T.DataType, op: str, operation: dict) -> Typed:
+    """SET or MODE of a list: entries in order of (key, position), so that equal keys stand together; n log n."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.coalesce(key_text(Typed(x, inner)), F.lit("")).alias("k"), x.isNull().alias("none"), i.alias("p"))))
+    same = lambda a, b: (a["k"] == b["k"]) & (a["none"] == b["none"])
+    n = F.size(items)
+    first = F.array_sort(F.transform(F.filter(F.array(keyed), lambda s: F.size(s) > 0), lambda s: s))  # the sorted entries once
+    begins = F.flatten(F.transform(first, lambda s: F.filter(F.transform(s, lambda x, i: F.struct(i.alias("i"), x["p"].alias("p"), ((i == 0) | ~same(x, F.get(s, F.greatest(i - 1, F.lit(0))))).alias("new"))), lambda x: x["new"])))
+    if op == "SET":
+        return Typed(F.transform(F.array_sort(F.transform(begins, lambda x: x["p"])), lambda p: F.get(items, p)), T.ArrayType(inner))
+    counted = F.transform(F.array(begins), lambda b: F.transform(b, lambda x, j: F.struct((F.coalesce(F.get(b, j + 1)["i"], n) - x["i"]).alias("n"), (-x["p"] if operation.get("mode_ties") == "first" else x["p"]).alias("o"), x["p"].alias("p"))))
+    return Typed(F.get(items, F.array_max(F.flatten(counted))["p"]), inner)
 
 
 def reduce_list(v: Typed, operation: dict) -> Typed:
@@ -45,14 +53,8 @@ def reduce_list(v: Typed, operation: dict) -> Typed:
         return Typed(items, v.type)
     if op == "COUNT":
         return Typed(F.size(items).cast(LONG), LONG)
-    keyed = F.transform(items, lambda x, i: F.struct(key_text(Typed(x, inner)).alias("k"), i.alias("p"), x.alias("v")))
     if op in ("SET", "MODE"):
-        keys = F.transform(keyed, lambda x: x["k"])
-        firsts = F.filter(keyed, lambda x: F.array_position(keys, x["k"]) == x["p"] + 1)
-        if op == "SET":
-            return Typed(F.transform(firsts, lambda x: x["v"]), v.type)
-        ranked = F.transform(firsts, lambda x: F.struct(_mode_tie(operation.get("mode_ties") == "first", F.size(F.filter(keys, lambda k: k == x["k"])), x["p"]).alias("o"), x["v"].alias("v")))
-        return Typed(F.array_max(ranked)["v"], inner)
+        return _distinct(items, inner, op, operation)
     how = handling(operation) if op in NUMERIC else "IGNORE"
     n = _numbers(Typed(F.lit(None).cast(inner), inner), how).type
     numbers = F.filter(F.transform(items, lambda x: _numbers(Typed(x, inner), how).col), lambda x: x.isNotNull())
@@ -76,25 +78,35 @@ def reduce_list(v: Typed, operation: dict) -> Typed:
     return Typed(F.sqrt(variance) if op == "STD_DEV" else variance, DOUBLE)
 
 
-def over_rows(v: Typed, position: Column, operation: dict) -> tuple[Column, T.DataType, Column | None, bool]:
-    """(aggregate, type, value for no rows, whether reduce_list must finish it) for one value over a group of rows."""
+def over_values(v: Typed, operation: dict) -> tuple[Column, T.DataType, Column | None]:
+    """(aggregate, type, value for no rows) of SET or MODE over the distinct values of a group, of which the columns x
+    (the value, in a struct), n (how often) and p (first position) are known: as large as the distinct values."""
+    if operation["operator"].upper() == "SET":
+        kind = T.ArrayType(v.type)
+        return F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]["v"]), kind, F.array().cast(kind)
+    order = F.struct("n", -F.col("p") if operation.get("mode_ties") == "first" else F.col("p"))
+    return F.max_by("x", order)["v"], v.type, None
+
+
+def over_rows(v: Typed, position: Column, operation: dict) -> tuple[Column, T.DataType, Column | None]:
+    """(aggregate, type, value for no rows) for one value over a group of rows; SET and MODE see over_values."""
     op = operation["operator"].upper()
     if op == "CUSTOM":
         raise SpecError("CUSTOM aggregates have no definition")
     if op == "COUNT":
-        return F.count(F.lit(1)), LONG, F.lit(0).cast(LONG), False
-    if op in ("SET", "LIST", "ARRAY", "MODE"):
+        return F.count(F.lit(1)), LONG, F.lit(0).cast(LONG)
+    if op in ("LIST", "ARRAY"):
         ordered = F.sort_array(F.collect_list(F.struct(position.alias("p"), F.struct(v.col.alias("v")).alias("x"))))
         kind = T.ArrayType(v.type)
-        return F.transform(ordered, lambda s: s["x"]["v"]), kind, F.array().cast(kind), op in ("SET", "MODE")
+        return F.transform(ordered, lambda s: s["x"]["v"]), kind, F.array().cast(kind)
     if op in ("MIN", "MAX"):
         n = number(v).col
         if v.numeric:
-            return (F.min if op == "MIN" else F.max)(v.col), v.type, None, False
+            return (F.min if op == "MIN" else F.max)(v.col), v.type, None
         by = F.when(n.isNotNull(), F.struct(n if op == "MIN" else -n, position))
-        return F.min_by(F.when(n.isNotNull(), v.col), by), v.type, None, False
+        return F.min_by(F.when(n.isNotNull(), v.col), by), v.type, None
     n = _numbers(v, handling(operation))
     if op == "SUM":
-        return F.sum(n.col), n.type, F.lit(0).cast(n.type), False
+        return F.sum(n.col), n.type, F.lit(0).cast(n.type)
     f = {"AVERAGE": F.avg, "MEDIAN": F.median, "VARIANCE": F.var_pop, "STD_DEV": F.stddev_pop}[op]
-    return f(n.col.cast(DOUBLE)), DOUBLE, None, False
+    return f(n.col.cast(DOUBLE)), DOUBLE, None

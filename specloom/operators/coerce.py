@@ -114,9 +114,13 @@ def reshape(v: Typed, cast_as: str | None, key: str | None) -> Typed:
         has = key in v.type.elementType.fieldNames()
         entry = lambda x: F.struct(F.coalesce(x[key].cast("string") if has else F.lit(None), F.lit("")).alias("key"), F.struct(*[x[f.name].alias(f.name) for f in fields]).alias("value"))
         entries = F.transform(F.filter(v.col, lambda x: x.isNotNull()), entry)
-        # of equal keys the last value stays, at the place of the first
-        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
-        return Typed(F.map_from_entries(last), T.MapType(STRING, T.StructType(fields)))
+        # of equal keys the last value stays, at the place of the first; in order of (key, place) equal keys stand together
+        order = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), i.alias("p"))))
+        new = lambda s, i: (i == 0) | (F.get(s, F.greatest(i - 1, F.lit(0)))["k"] != F.get(s, i)["k"])
+        ends = lambda s: F.filter(F.transform(s, lambda e, i: F.struct(e["p"].alias("p"), (F.coalesce(F.get(s, i + 1)["k"] != e["k"], F.lit(True))).alias("last"))), lambda e: e["last"])
+        starts = lambda s: F.filter(F.transform(s, lambda e, i: F.struct(e["p"].alias("p"), new(s, i).alias("first"))), lambda e: e["first"])
+        kept = F.array_sort(F.flatten(F.transform(F.array(order), lambda s: F.zip_with(starts(s), ends(s), lambda a, b: F.struct(a["p"].alias("at"), b["p"].alias("p"))))))
+        return Typed(F.transform(F.array(entries), lambda es: F.map_from_entries(F.transform(kept, lambda x: F.get(es, x["p"]))))[0], T.MapType(STRING, T.StructType(fields)))
     if cast_as == "MultiValuedList" and v.kind == "dict":
         if not isinstance(v.type.valueType, T.StructType):
             return Typed(F.map_values(v.col), T.ArrayType(v.type.valueType))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.typed import Typed
-from .aggregate import over_rows, reduce_list
+from ..functions.typed import Typed, key_text
+from .aggregate import over_rows, over_values
 
-POSITION = "_pos"
+#: The input order of a table; a name that no class of a schema has.
+POSITION = "_specloom_pos"
 
 
 def positioned(df: DataFrame) -> DataFrame:
-    """df with its input order under _pos (kept where it is there already)."""
+    """df with its input order under POSITION (kept where it is there already)."""
     return df if POSITION in df.columns else df.withColumn(POSITION, F.monotonically_increasing_id())
 
 
@@ -34,19 +35,30 @@ def first_match(df: DataFrame, source_key: str, table: DataFrame, key: str, alia
 
 def all_matches(df: DataFrame, source_key: str, table: DataFrame, key: str, alias: str, wanted: dict[str, tuple[str, dict]]) -> tuple[DataFrame, dict[str, Typed]]:
     """df with one column per wanted aggregate {column: (field, operation)} over all rows that match: one pass for all."""
-    rows, made, aggregates = positioned(table), {}, []
+    rows, made, aggregates, counted = positioned(table), {}, [], []
+    at = f"_a_{alias}"
     for name, (field, operation) in wanted.items():
         v = Typed(F.col(field), table.schema[field].dataType)
-        column, kind, empty, unfinished = over_rows(v, F.col(POSITION), operation)
+        if operation["operator"].upper() in ("SET", "MODE"):
+            counted.append((name, v, operation))
+            continue
+        column, *rest = over_rows(v, F.col(POSITION), operation)
         aggregates.append(column.alias(name))
-        made[name] = (kind, empty, operation if unfinished else None)
-    grouped = rows.groupBy(usable_key(table, key).alias(f"_a_{alias}")).agg(*aggregates).where(F.col(f"_a_{alias}").isNotNull())
-    out = df.join(grouped, usable_key(df, source_key) == F.col(f"_a_{alias}"), "left").drop(f"_a_{alias}")
+        made[name] = rest
+    keyed = rows.withColumn(at, usable_key(table, key)).where(F.col(at).isNotNull())
+    groups = [keyed.groupBy(at).agg(*aggregates)] if aggregates else []
+    for name, v, operation in counted:  # per (key, value) first, combined on the map side, then per key
+        values = keyed.groupBy(at, key_text(v).alias("_v")).agg(F.min_by(F.struct(v.col.alias("v")), F.col(POSITION)).alias("x"), F.count(F.lit(1)).alias("n"), F.min(POSITION).alias("p"))
+        column, *made[name] = over_values(v, operation)
+        groups.append(values.groupBy(at).agg(column.alias(name)))
+    out = df
+    for k, grouped in enumerate(groups):
+        out = out.join(grouped.withColumnRenamed(at, f"{at}{k}"), usable_key(df, source_key) == F.col(f"{at}{k}"), "left").drop(f"{at}{k}")
     values = {}
-    for name, (kind, empty, operation) in made.items():
+    for name in wanted:
+        kind, empty = made[name]
         col = F.col(name) if empty is None else F.coalesce(F.col(name), empty)
-        col = F.when(F.col(source_key).isNotNull(), col)
-        values[name] = reduce_list(Typed(col, kind), operation) if operation else Typed(col, kind)
+        values[name] = Typed(F.when(F.col(source_key).isNotNull(), col), kind)
     return out, values
 
 
@@ -54,8 +66,10 @@ def keyed_map(collection: Typed, key: str) -> Typed | None:
     """A map from identifiers to objects of an inlined list or mapping of a container; the first of equal ids stays."""
     if collection.kind == "list" and isinstance(collection.type.elementType, T.StructType):
         kind = collection.type.elementType
-        first = F.aggregate(collection.col, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(T.ArrayType(kind))), lambda m, x: F.when(x[key].isNull() | F.map_contains_key(m, F.coalesce(x[key].cast("string"), F.lit(""))), m).otherwise(F.map_concat(m, F.map_from_arrays(F.array(x[key].cast("string")), F.array(x)))))
-        return Typed(first, T.MapType(T.StringType(), kind))
+        # in order of (id, place) the first of equal ids stands first; n log n
+        sorted_ = F.array_sort(F.transform(F.filter(F.transform(collection.col, lambda x, i: F.struct(x[key].cast("string").alias("k"), i.alias("p"))), lambda e: e["k"].isNotNull()), lambda e: e))
+        firsts = F.flatten(F.transform(F.array(sorted_), lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, F.greatest(i - 1, F.lit(0)))["k"] != e["k"]))))
+        return Typed(F.map_from_arrays(F.transform(firsts, lambda e: e["k"]), F.transform(firsts, lambda e: F.get(collection.col, e["p"]))), T.MapType(T.StringType(), kind))
     if collection.kind == "dict" and isinstance(collection.type.valueType, T.StructType):
         fields = [f for f in collection.type.valueType.fields if f.name != key]
         kind = T.StructType([T.StructField(key, T.StringType()), *fields])
