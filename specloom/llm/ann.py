@@ -10,8 +10,11 @@ A unit of work is a bucket's block of data rows against a block of the queries t
 rows or queries are dealt over several units, so no task holds an unbounded bucket. A unit returns at most k rows per
 query. A query that finds fewer than k is searched again against all rows, in blocks.
 
-Defined results: vectors that are null, zero, of another length than the longest or hold null or non-finite components
-take no part; rows without vec_id neither; rows of one vec_id count once (with their best score) and are not their own
+Vectors of different lengths have no inner product: each length has a hash family, buckets and a common norm of its own,
+and a query meets vectors of its length only.
+
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; rows without vec_id
+neither; rows of one vec_id count once (with their best score) and are not their own
 neighbours; ties go to the smaller vec_id.
 """
 
@@ -32,8 +35,20 @@ TABLES, HASHES, WIDTH, PROBES, BLOCK, SEED = 8, 4, 1.2, 28, 2048, 42
 
 
 def _family(dim: int, norm: float, tables: int, hashes: int, width: float, seed: int):
+    """(directions, offsets, width, norm) of the vectors of one length."""
     r = np.random.default_rng(seed)
-    return r.standard_normal((tables, dim + 1, hashes)), r.random((tables, hashes)) * width * norm, width * norm
+    return r.standard_normal((tables, dim + 1, hashes)), r.random((tables, hashes)) * width * norm, width * norm, norm
+
+
+def _by_length(batches, dtype: str, most: int):
+    """(length, ids, packed vectors, matrix) of the vectors of one length in at most so many rows at a time."""
+    item = np.dtype(dtype).itemsize
+    for batch in (part.slice(i, most) for part in batches for i in range(0, part.num_rows, most)):
+        packed = batch.column(1).to_pylist()
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // item
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            yield n, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), np.frombuffer(b"".join(packed[i] for i in at), dtype=dtype).reshape(len(at), n).astype(np.float64)
 
 
 def _key(h: np.ndarray) -> np.ndarray:
@@ -45,33 +60,23 @@ def _key(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _vectors(batch, dtype):
-    return np.stack([np.frombuffer(v, dtype=dtype) for v in batch.column(1).to_pylist()]).astype(np.float64)
-
-
-def _index(family, norm: float, dtype: str):
-    a, b, w = family
-
+def _index(families: dict, dtype: str):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _vectors(batch, dtype)
+        for n, ids, vectors, x in _by_length(batches, dtype, 8192):
+            a, b, w, norm = families[n]
             x = np.concatenate([x, np.sqrt(np.maximum(0.0, norm * norm - (x * x).sum(1)))[:, None]], axis=1)
             for t in range(len(a)):
                 key = _key(np.floor((x @ a[t] + b[t]) / w).astype(np.int64))
-                yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(key), batch.column(0), batch.column(1)], names=["t", "key", "vec_id", "vec"])
+                yield pa.record_batch([pa.array(np.full(len(x), n * len(a) + t)), pa.array(key), ids, vectors], names=["t", "key", "vec_id", "vec"])
 
     return run
 
 
-def _probe(family, norm: float, dtype: str, probes: int):
-    a, b, w = family
-    steps = np.array(list(product((0, -1, 1), repeat=a.shape[2])))
-
+def _probe(families: dict, dtype: str, probes: int):
     def run(batches):
-        for batch in (part.slice(i, 1024) for part in batches for i in range(0, part.num_rows, 1024)):
-            x = _vectors(batch, dtype)
+        for n, ids, vectors, x in _by_length(batches, dtype, 1024):
+            a, b, w, norm = families[n]
+            steps = np.array(list(product((0, -1, 1), repeat=a.shape[2])))
             x = x * (norm / np.sqrt((x * x).sum(1)))[:, None]
             for t in range(len(a)):
                 at = (x @ a[t][:-1] + b[t]) / w
@@ -81,7 +86,7 @@ def _probe(family, norm: float, dtype: str, probes: int):
                 best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
                 key = _key((own[:, None, :] + steps[best]).astype(np.int64)).ravel()
                 row = pa.array(np.repeat(np.arange(len(x)), best.shape[1]))
-                yield pa.record_batch([pa.array(np.full(len(row), t, np.int32)), pa.array(key), batch.column(0).take(row), batch.column(1).take(row)], names=["t", "key", "vec_id", "vec"])
+                yield pa.record_batch([pa.array(np.full(len(row), n * len(a) + t)), pa.array(key), ids.take(row), vectors.take(row)], names=["t", "key", "vec_id", "vec"])
 
     return run
 
@@ -181,18 +186,18 @@ def _pack(dtype: str):
 def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by every."""
     rows, dtype = _clean(vectors, vec)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("norm")).first()
-    dim, norm = facts["dim"] or 1, facts["norm"] or 1.0
-    rows = common.cut(rows.where(F.size("vec") == dim).mapInArrow(_pack(dtype), "vec_id long, vec binary"))
-    family = _family(dim, norm, tables, hashes, width, seed)
-    kind = "t int, key long, vec_id long, vec binary"
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    lengths = rows.groupBy(F.size("vec").alias("dim")).agg(F.max(norm).alias("norm")).collect()  # one row per length
+    families = {r["dim"]: _family(r["dim"], r["norm"], tables, hashes, width, seed) for r in lengths}
+    rows = common.cut(rows.mapInArrow(_pack(dtype), "vec_id long, vec binary"))
+    kind = "t long, key long, vec_id long, vec binary"
     asked = rows.where(F.col("vec_id") % every == 0)
-    found = common.cut(_best(_search(rows.mapInArrow(_index(family, norm, dtype), kind), asked.mapInArrow(_probe(family, norm, dtype, probes), kind), k, block, dtype), k))
+    found = common.cut(_best(_search(rows.mapInArrow(_index(families, dtype), kind), asked.mapInArrow(_probe(families, dtype, probes), kind), k, block, dtype), k))
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
     short = common.cut(asked.join(enough, asked.vec_id == enough.query_id, "left_anti"))
     if short.isEmpty():
         return found
-    everywhere = lambda df: df.select(F.lit(-1).alias("t"), F.lit(0).cast("long").alias("key"), "vec_id", "vec")
+    everywhere = lambda df: df.select((-F.length("vec")).cast("long").alias("t"), F.lit(0).cast("long").alias("key"), "vec_id", "vec")
     rest = _best(_search(everywhere(rows), everywhere(short), k, block, dtype), k)
     return found.join(enough, "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").union(rest)
 
