@@ -295,7 +295,7 @@ def shared_windows(docs: DataFrame, width: int = 50, cover: tuple = COVER, perio
     is written before the next begins, so its shuffle files can go; texts are read and hashed anew by each, as the rows
     of hashes would take more room than the texts.
     """
-    docs = docs.where("doc_id is not null")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     copies = _copies(docs, width)
     firsts = docs.join(copies, docs.doc_id == copies.doc, "left_anti")
     around = _around(firsts, width, cover, period)

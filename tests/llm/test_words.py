@@ -125,3 +125,85 @@ def test_risk_control(spark):
     assert sum(not kept[i] for i, q in labels if q == 1) <= 0.01 * 4000
     few = {x.doc_id: x.kept for x in quality_rules.judge(quality_rules.with_features(docs), spark.createDataFrame(labels[:30], "doc_id long, quality int")).collect()}
     assert all(few.values())  # too few labels for a bound: every rule is off
+
+
+def test_equal_words_not_equal_hashes(spark):
+    """Words that collide under any polynomial modulo 2 ** 64 are different words."""
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    same = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*same, thue])), (2, " ".join([*same, other])), (3, " ".join([*same, thue])), (None, " ".join([*same, thue])), (4, "x " * 30_000), (5, "x " * 60)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: (50, 0), 2: (50, 0), 3: (50, 50), None: (50, 0), 4: (30_000, 0), 5: (60, 60)}
+
+
+def test_keys_are_settled_alike_in_any_split(spark, monkeypatch):
+
+    parts = [substring_dedup._settle_later, substring_dedup._settle_shared]
+    r = np.random.default_rng(2)
+    for settle, read in zip(parts, (substring_dedup._later, substring_dedup._shared)):
+        h, doc, pos = r.integers(0, 40, 400), r.integers(0, 12, 400), np.arange(400)
+        out = []
+        for cut in range(0, 400, 57):
+            at = slice(cut, cut + 57)
+            out += [dict(zip(b.schema.names, c)) for b in settle(h[at], h[at] * 0, doc[at], pos[at]) for c in zip(*(x.to_pylist() for x in b.columns))]
+        out.sort(key=lambda x: (x["done"], x["h1"], x["h2"], x["doc"]))
+        import pyarrow as pa
+
+        kind = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("done", pa.bool_()), ("doc", pa.int64()), ("pos", pa.int32())])
+        batches = [pa.RecordBatch.from_pylist(out[i : i + 31], schema=kind) for i in range(0, len(out), 31)]
+        got = sorted((d, p) for b in read(iter(batches)) for d, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        docs = {k: set(doc[h == k].tolist()) for k in set(h.tolist())}
+        want = [(int(d), int(p)) for k, d, p in zip(h, doc, pos) if (d > min(docs[int(k)]) if settle is parts[0] else len(docs[int(k)]) > 1)]
+        assert got == sorted(want)
+
+
+def test_null_ids_and_repeated_rows_of_simhash(spark):
+    rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (None, "lone words of no one else"), (3, None), (9, "")]
+    got = sorted(((x.doc_id, x.component_id) for x in simhash_dedup.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (7, 7), (None, None), (3, 3), (9, 3)], key=str)
+
+
+def test_holm_is_the_step_down(spark):
+    r = random.Random(6)
+    chains = [(f"s{i // 3}", f"r{i % 3}", [(r.choice([0.0001, 0.003, 0.02, 0.5]), r.randint(0, 9), 1.0 - j / 10) for j in range(4)]) for i in range(12)]
+    kind = "stratum string, rule string, tests array<struct<p:double,bad:long,cut:double>>"
+    got = {(x.stratum, x.rule): x.cut for x in quality_rules.holm(spark.createDataFrame(chains, kind), 0.1).collect()}
+    order = sorted(chains, key=lambda c: (max(t[0] for t in c[2]), c[1], c[0]))
+    done = 0
+    while done < 12 and max(t[0] for t in order[done][2]) <= 0.1 / (12 - done):
+        done += 1
+    for k, (s, rule, tests) in enumerate(order):
+        passed = []
+        for t in tests:
+            if k >= done and t[0] > 0.1 / max(1, 12 - done):
+                break
+            passed.append(t)
+        good = [t for t in passed if t[1] > 0]
+        assert got[s, rule] == (max((t[1], t[2]) for t in good)[1] if good else None)
+
+
+def test_risk_is_kept_in_simulation():
+    """A chain at a rate just above its share passes about as often as the level allows, not more."""
+    from math import comb
+
+    r, n, share, level = np.random.default_rng(4), 500, 0.02, 0.05
+    tail = [sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1)) for k in range(30)]
+    k = r.binomial(n, share * 1.0001, 20_000)
+    assert np.mean([x < 30 and tail[x] <= level for x in k]) <= level
+
+
+def test_cutoffs_are_chosen_on_the_given_tables(spark):
+    import os
+
+    import pytest
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("stratum"), "text")
+    cuts = {x.stratum: x for x in quality_rules.thresholds(quality_rules.with_features(docs).drop("text"), spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert cuts["en"].symbols is not None and cuts["en"].word_length is not None
+    assert quality_rules.judge(quality_rules.with_features(docs.limit(0)).drop("text"), spark.read.parquet(f"{d}/labels.parquet").limit(0)).count() == 0
