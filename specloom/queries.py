@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import SpecError
 from .plans.mapper import Mapper
 from .plans.schema import Schema
+from .sources import io
 
 _SPECS: dict[str, tuple] = {}
 ORACLES: dict[str, str] = {}
@@ -152,8 +156,6 @@ _add("melt_prices", "part", _slots("part", {}, pivot_operation={"direction": "ME
 _add("unmelt_flags", "lineitem", _slots("lineitem", {"A": None, "N": None, "R": None}, pivot_operation={"direction": "UNMELT", "id_slots": ["l_orderkey"], "variable_slot": "flag", "value_slot": "q"}), "SELECT l_orderkey, max(q) FILTER (f = 'A') AS A, max(q) FILTER (f = 'N') AS N, max(q) FILTER (f = 'R') AS R FROM (SELECT l_orderkey, l_returnflag AS f, round(sum(l_quantity), 4) AS q FROM lineitem GROUP BY 1, 2) GROUP BY 1",
      prepare=lambda d: d.groupBy("l_orderkey", F.col("l_returnflag").alias("flag")).agg(F.round(F.sum("l_quantity"), 4).alias("q")))
 _add("json_nested_path", "events", _slots("events", {"id": {"populated_from": "event_id"}, "k": {"populated_from": "props.k"}, "x": _e("{props.k} + 1")}), "SELECT event_id AS id, json_extract(props, '$.k')::BIGINT AS k, json_extract(props, '$.k')::BIGINT + 1 AS x FROM events", prepare=lambda d: d.select("event_id", F.from_json("props", "k long").alias("props")))
-_add("uuid5_key", "customer", _slots("customer", {"k": {"populated_from": "c_custkey"}, "u": _e("uuid5('https://example.org/', c_name)")}), "")
-ORACLES.pop("uuid5_key")
 
 
 def lookup_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,14 +168,7 @@ def lookup_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_stateless_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same projection over a stream of files, run until what is there is done; its result read back as a table."""
-    import uuid
-
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="specloom-stream-")
-    at = f"{folder}/stream-{uuid.uuid4().hex}"
+    at = _folder(spark)
     events = table(spark, sf_dir, "events")
     spec = _slots("events", {"id": {"populated_from": "event_id"}, "kind": _e("upper(event_type)"), "v": _e("value * 2")})
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -187,5 +182,100 @@ ORACLES["lookup_two_stage"] = "SELECT c_custkey AS k, r_name AS region FROM cust
 ORACLES["stream_stateless_map"] = "SELECT event_id AS id, upper(event_type) AS kind, value * 2 AS v FROM events"
 
 
+
+
+# -- single functions and rules ---------------------------------------------------------------------------------------
+_add("fn_title", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "t": _e("title(lower(p_type))"), "n": _e("strlen(p_type)")}), "SELECT p_partkey AS k, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS t, length(p_type)::BIGINT AS n FROM part")
+_add("fn_int_float", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "n": {"populated_from": "l_linenumber", "range": "integer"}, "i": _e("int(l_extendedprice)"), "s": _e("int(str(l_linenumber)) + 1"), "f": _e("float(str(l_linenumber))"), "d": _e("int(-l_quantity / 7)")}),
+     "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, trunc(l_extendedprice)::BIGINT AS i, l_linenumber::BIGINT + 1 AS s, l_linenumber::DOUBLE AS f, trunc(-l_quantity / 7)::BIGINT AS d FROM lineitem")
+_add("fn_bool_abs", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "n": {"populated_from": "l_linenumber", "range": "integer"}, "b": _e("bool(l_linenumber - 1)"), "a": _e("abs(l_linenumber - 4)"), "q": _e("is_numeric(str(l_quantity))"), "w": _e("is_numeric(l_returnflag)")}),
+     "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_linenumber <> 1 AS b, abs(l_linenumber - 4)::BIGINT AS a, TRUE AS q, FALSE AS w FROM lineitem")
+_add("expr_round_digits", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "n": {"populated_from": "l_linenumber", "range": "integer"}, "one": _e("round(l_quantity / 8, 1 + 1)"), "tens": _e("round(l_orderkey / 4, -1)"), "row": _e("round(l_quantity / 8, l_linenumber % 3)")}),
+     "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, round_even(l_quantity / 8, 2) AS one, round_even(l_orderkey / 40.0, 0)::DOUBLE * 10 AS tens, round_even(l_quantity / 8, (l_linenumber % 3)::INT) AS row FROM lineitem")
+_add("expr_pow", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "n": {"populated_from": "l_linenumber", "range": "integer"}, "sq": _e("l_linenumber ** 2"), "two": _e("2 ** l_linenumber"), "big": _e("3 ** 39 + l_linenumber"), "half": _e("l_linenumber ** -1")}),
+     "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, (l_linenumber * l_linenumber)::BIGINT AS sq, pow(2.0, l_linenumber)::DOUBLE AS two, 4052555153018976267 + l_linenumber::BIGINT AS big, 1.0::DOUBLE / l_linenumber AS half FROM lineitem")
+_add("expr_bits", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "n": {"populated_from": "l_linenumber", "range": "integer"}, "x": _e("l_orderkey ^ 21"), "i": _e("~l_linenumber"), "r": _e("l_orderkey >> 2"), "p": _e("+l_linenumber"), "not": _e("not l_linenumber > 3")}),
+     "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, xor(l_orderkey, 21) AS x, (-l_linenumber - 1)::BIGINT AS i, l_orderkey >> 2 AS r, l_linenumber::BIGINT AS p, NOT l_linenumber > 3 AS not FROM lineitem")
+_add("expr_lists", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "l": _e("[p_size, 1] + [2] * 2"), "last": _e("[p_size, p_size + 5, 3][-1]"), "mid": _e("p_brand[-1]"), "least": _e("min([p_size, 10])"), "up": _e("upper([p_name, p_brand])")}),
+     "SELECT p_partkey AS k, p_size || ',1,2,2' AS l, 3::BIGINT AS last, p_brand[-1] AS mid, least(p_size, 10)::BIGINT AS least, upper(p_name) || '|' || upper(p_brand) AS up FROM part", finish=lambda d: d.withColumns({"l": F.array_join("l", ","), "up": F.array_join("up", "|")}))
+_add("expr_subscript", "conversations", _slots("conversations", {"id": {"populated_from": "conv_id"}, "first": _e("turns[0].role"), "last": _e("turns[-1].turn")}), "SELECT conv_id AS id, arg_min(role, turn) AS first, max(turn) AS last FROM conversations GROUP BY 1", prepare=_turns, schema=_turn_schema)
+_URL = "https://example.org/"
+_add("uuid5_key", "customer", _slots("customer", {"k": {"populated_from": "c_custkey"}, "u": _e(f"uuid5('{_URL}', c_name)")}),
+     f"SELECT c_custkey AS k, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(instr('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS u FROM (SELECT c_custkey, sha1(unhex('{uuid.uuid5(uuid.NAMESPACE_URL, _URL).hex}') || encode(c_name)) AS h FROM customer)")
+
+# -- shapes -------------------------------------------------------------------------------------------------------------
+_add("to_list_single", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "many": {"populated_from": "p_brand", "cast_collection_as": "MultiValued"}, "one": {"populated_from": "names", "cast_collection_as": "SingleValued"}}), "SELECT p_partkey AS k, p_brand AS many, p_name AS one FROM part", prepare=lambda d: d.select("p_partkey", "p_brand", F.array("p_name").alias("names")), finish=lambda d: d.withColumn("many", F.array_join("many", ",")))
+_add("dict_to_list", "conversations", {"class_derivations": {"Out": {"populated_from": "conversations", "slot_derivations": {"id": {"populated_from": "conv_id"}, "turns": {"populated_from": "turns", "cast_collection_as": "MultiValuedList", "dictionary_key": "turn"}}}, "conversations_turns": {"populated_from": "conversations_turns", "slot_derivations": {"role": None}}}},
+     "SELECT conv_id AS id, turn::VARCHAR AS turn, role FROM conversations", schema=_turn_schema, prepare=lambda d: _turns(d).select("conv_id", F.map_from_entries(F.transform("turns", lambda x: F.struct(x["turn"].cast("string"), F.struct(x["role"].alias("role"))))).alias("turns")), finish=lambda d: d.select("id", F.explode("turns").alias("t")).select("id", "t.turn", "t.role"))
+_add("stringify_yaml", "conversations", _slots("conversations", {"id": {"populated_from": "conv_id"}, "yaml": {"populated_from": "roles", "stringification": {"syntax": "YAML"}}}), "SELECT conv_id AS id, '[' || string_agg(role, ', ' ORDER BY turn) || ']' AS yaml FROM conversations GROUP BY 1", prepare=lambda d: _turns(d).select("conv_id", F.transform("turns", lambda x: x["role"]).alias("roles")))
+_add("class_recursion", "conversations", {"class_derivations": {"Out": {"populated_from": "conversations", "slot_derivations": {"id": {"populated_from": "conv_id"}, "turns": {"populated_from": "turns"}}}, "Turn": {"populated_from": "conversations_turns", "slot_derivations": {"at": {"populated_from": "turn"}, "who": _e("upper(role)")}}}},
+     "SELECT conv_id AS id, turn AS at, upper(role) AS who FROM conversations", schema=_turn_schema, prepare=_turns, finish=lambda d: d.select("id", F.explode("turns").alias("t")).select("id", "t.at", "t.who"))
+_marks = lambda d: _turns(d).select("conv_id", F.transform("turns", lambda x: F.when(x["turn"] == 0, "n/a").otherwise(x["turn"].cast("string"))).alias("marks"))
+_over_list = lambda operator, **more: {"populated_from": "marks", "aggregation_operation": {"operator": operator, **more}}
+_add("agg_invalid_values", "conversations", _slots("conversations", {"id": {"populated_from": "conv_id"}, "skip": _over_list("AVERAGE"), "zero": _over_list("AVERAGE", invalid_value_handling="TREAT_AS_ZERO"), "total": _over_list("SUM", null_handling="IGNORE"), "n": _over_list("COUNT")}),
+     "SELECT conv_id AS id, round(avg(CASE WHEN turn <> 0 THEN turn END), 7) AS skip, round(avg(turn), 7) AS zero, sum(turn)::DOUBLE AS total, count(*) AS n FROM conversations GROUP BY 1", prepare=_marks, finish=_rounded("skip", "zero"))
+_add("inheritance", "customer", {"class_derivations": {"Base": {"slot_derivations": {"name": {"populated_from": "c_name"}, "level": {"value": "base"}}}, "Named": {"slot_derivations": {"seg": _e("lower(c_mktsegment)")}}, "Out": {"populated_from": "customer", "is_a": "Base", "mixins": ["Named"], "slot_derivations": {"k": {"populated_from": "c_custkey"}, "level": {"value": "own"}}}}},
+     "SELECT c_custkey AS k, c_name AS name, 'own' AS level, lower(c_mktsegment) AS seg FROM customer")
+
+
+def _any_of_schema(given) -> Schema:
+    s = Schema.from_struct({"customer": given["customer"].schema})
+    s.classes["customer"]["attributes"]["c_mktsegment"] = {"any_of": [{"range": "Home"}, {"range": "Work"}]}
+    return Schema({**s.definition, "classes": s.classes, "enums": {"Home": {"permissible_values": {"HOUSEHOLD": {}}}, "Work": {"permissible_values": {"MACHINERY": {}, "BUILDING": {}}}}})
+
+
+_add("enum_any_of", "customer", {**_slots("customer", {"k": {"populated_from": "c_custkey"}, "seg": {"populated_from": "c_mktsegment"}}), "enum_derivations": {"H": {"populated_from": "Home", "permissible_value_derivations": {"home": {"populated_from": "HOUSEHOLD"}}}, "W": {"populated_from": "Work", "permissible_value_derivations": {"tool": {"populated_from": "MACHINERY"}}}}}, "SELECT c_custkey AS k, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'home' WHEN 'MACHINERY' THEN 'tool' END AS seg FROM customer", schema=_any_of_schema)
+_measured = lambda d: d.select("p_partkey", F.struct(F.col("p_size").cast("double").alias("magnitude"), F.when(F.col("p_partkey") % 2 == 0, "m").otherwise("cm").alias("unit")).alias("q"))
+_add("unit_structured", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "q": {"populated_from": "q", "unit_conversion": {"target_unit": "mm", "source_unit_slot": "unit", "source_magnitude_slot": "magnitude", "target_magnitude_slot": "size", "target_unit_slot": "in"}}}),
+     "SELECT p_partkey AS k, round(p_size * CASE WHEN p_partkey % 2 = 0 THEN 1000.0 ELSE 10.0 END, 6)::DOUBLE AS size, 'mm' AS unit FROM part", prepare=_measured, finish=lambda d: d.select("k", F.round("q.size", 6).alias("size"), F.col("q.in").alias("unit")))
+_add("unit_non_numeric", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "v": {"populated_from": "size", **_unit("kg", "g", none_if_non_numeric=True)}, "same": {"populated_from": "size", **_unit("g{dry}", "g", none_if_non_numeric=True)}}),
+     "SELECT p_partkey AS k, CASE WHEN p_size % 3 <> 0 THEN p_size * 1000.0 END::DOUBLE AS v, CASE WHEN p_size % 3 <> 0 THEN p_size END::DOUBLE AS same FROM part", prepare=lambda d: d.select("p_partkey", F.when(F.col("p_size") % 3 == 0, "unknown").otherwise(F.col("p_size").cast("string")).alias("size")), finish=lambda d: d.withColumn("v", F.round("v", 6)))
+_add("melt_named", "part", _slots("part", {}, pivot_operation={"direction": "MELT", "id_slots": ["p_partkey"], "source_slots": ["p_size"], "variable_slot": "what", "value_slot": "much"}), "SELECT p_partkey, 'p_size' AS what, p_size AS much FROM part")
+_add("case_numbers", "orders", _slots("orders", {"k": {"populated_from": "o_orderkey"}, "v": _e("case((o_totalprice > 150000, 1), (o_totalprice > 50000, 2))"), "s": _e("len(str(o_custkey))")}), "SELECT o_orderkey AS k, CASE WHEN o_totalprice > 150000 THEN 1 WHEN o_totalprice > 50000 THEN 2 END::BIGINT AS v, length(o_custkey::VARCHAR) AS s FROM orders")
+
+
+def reference_in_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between the objects of one container: each mark's nation by its identifier."""
+    t = {n: table(spark, sf_dir, n) for n in ("region", "nation")}
+    nations = t["nation"].groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))).alias("nations"), F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("of"))).alias("marks"))
+    schema = {"classes": {"Box": {"tree_root": True, "attributes": {"marks": {"range": "Mark", "multivalued": True, "inlined_as_list": True}, "nations": {"range": "Nation", "multivalued": True, "inlined_as_list": True}}}, "Mark": {"attributes": {"of": {"range": "Nation"}}}, "Nation": {"attributes": {"id": {"identifier": True}, "name": {}}}}}
+    spec = {"class_derivations": {"Box": {"slot_derivations": {"marks": {"populated_from": "marks"}}}, "Mark": {"slot_derivations": {"id": {"populated_from": "of"}, "name": _e("of.name")}}}}
+    return Mapper(spec, schema).transform(nations, "Box").select(F.explode("marks").alias("m")).select("m.id", "m.name")
+
+
+ORACLES["reference_in_container"] = "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation"
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SpecError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        at = tempfile.mkdtemp(prefix="specloom-")
+    return f"{at}/query-{uuid.uuid4().hex}"
+
+
+def _round_trip(kind: str):
+    """Mapped rows written in one format, read back with the schema's types and mapped again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = f"{_folder(spark)}.{kind}"
+        first = Mapper(_slots("part", {"k": {"populated_from": "p_partkey", "range": "integer"}, "name": {"populated_from": "p_name"}, "price": {"populated_from": "p_retailprice"}, "note": _e("p_type + ',\"' + p_brand")})).transform(table(spark, sf_dir, "part"), "part")
+        io.write(first, at)
+        schema = Schema({"classes": {"Out": {"attributes": {"k": {"range": "integer"}, "name": {}, "price": {"range": "float"}, "note": {}}}}})
+        back = io.read(spark, at, schema, "Out")
+        return Mapper({"class_derivations": {"Out": {"slot_derivations": {"k": None, "name": None, "price": None, "note": None}}}}, schema).transform(back, "Out")
+
+    return query
+
+
+_FORMATS = ("csv", "tsv", "jsonl", "parquet")
+ORACLES |= {f"round_trip_{k}": "SELECT p_partkey AS k, p_name AS name, p_retailprice AS price, p_type || ',\"' || p_brand AS note FROM part" for k in _FORMATS}
+
+
 def queries() -> dict:
-    return {n: _run(n) for n in _SPECS} | {"lookup_two_stage": lookup_two_stage, "stream_stateless_map": stream_stateless_map}
+    made = {n: _run(n) for n in _SPECS} | {"lookup_two_stage": lookup_two_stage, "stream_stateless_map": stream_stateless_map, "reference_in_container": reference_in_container}
+    return made | {f"round_trip_{k}": _round_trip(k) for k in _FORMATS}
