@@ -4,6 +4,7 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from specloom import queries
 from specloom.cli import main
@@ -162,3 +163,36 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 150
     assert set(queries.ORACLES) | {"uuid5_key"} == set(queries.queries())
     assert set(queries.queries()) <= set(entry.queries())
+
+
+def test_hot_key_aggregates(spark):
+    """SET and MODE of one key's many matches take work per distinct value, in order of first sight."""
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    right = spark.range(200_000).selectExpr("1L AS k", "(id * 7) % 100 AS v").unionByName(spark.createDataFrame([(1, 5)], "k long, v long")).coalesce(1)
+    slots = {o: {"populated_from": "r.v", "aggregation_operation": {"operator": o}} for o in ("SET", "MODE", "COUNT")}
+    spec = {"class_derivations": {"Out": {"populated_from": "l", "joins": {"r": {"source_key": "k", "lookup_key": "k"}}, "slot_derivations": slots}}}
+    got = Mapper(spec).transform({"l": left, "r": right}, "l").collect()
+    assert got[0].SET == [i * 7 % 100 for i in range(100)] and got[0].MODE == 5 and got[0].COUNT == 200_001
+    assert (got[1].SET, got[1].MODE, got[1].COUNT) == ([], None, 0) and got[2].SET is None
+
+
+def test_long_lists_in_a_row(spark):
+    rows = spark.range(1).selectExpr("transform(sequence(0, 20000), i -> i % 5000) AS l", "transform(sequence(0, 20000), i -> named_struct('id', cast(i % 5000 AS string), 'n', i)) AS t")
+    slots = {"s": {"populated_from": "l", "aggregation_operation": {"operator": "SET"}}, "m": {"populated_from": "l", "aggregation_operation": {"operator": "MODE"}}}
+    got = Mapper({"class_derivations": {"Out": {"populated_from": "x", "slot_derivations": slots}}}).transform(rows, "x").first()
+    assert got.s == list(range(5000)) and got.m == 0
+    from specloom.functions.typed import Typed
+    from specloom.operators import coerce
+
+    made = coerce.reshape(Typed(rows["t"], rows.schema["t"].dataType), "MultiValuedDict", "id")
+    kept, keys = rows.select(made.col.alias("d"), F.map_keys(made.col)).first()
+    assert keys == [str(i) for i in range(5000)] and kept["0"].n == 20000 and kept["7"].n == 15007
+
+
+def test_round_and_power_from_the_tree(spark):
+    rows = spark.createDataFrame([(1.23456, 3, 10)], "x double, d1 long, n long")
+    texts = {"a": "round(x, d1)", "b": "round(x, 1 + 1)", "c": "round(x, -1)", "d": "2 ** n", "e": "n ** 3", "f": "7 ** 22", "g": "int('99999999999999999999')"}
+    run = lambda *names: Mapper({"class_derivations": {"Out": {"populated_from": "t", "slot_derivations": {k: {"expr": texts[k]} for k in names}}}}).transform(rows, "t").first()
+    assert tuple(run("a", "b", "c", "d", "e", "f")) == (1.235, 1.23, 0.0, 1024.0, 1000, 7**22)
+    with pytest.raises(Exception):
+        run("g")

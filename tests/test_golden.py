@@ -3,44 +3,51 @@
 from specloom.objects import ObjectMapper
 
 
-def test_measurements(spark):
-    schema = {"classes": {"Person": {"attributes": {"id": {}, "height": {"range": "Quantity", "inlined": True}}}, "Quantity": {"attributes": {"value": {"range": "float"}, "unit": {}}}}}
-    spec = {"class_derivations": {"Person": {"slot_derivations": {"id": None, "height_in_cm": {"expr": "case((height.unit == 'cm', height.value), (True, NULL))"}}}}}
+def test_oven_readings(spark):
+    """An expression over a nested object, by its unit."""
+    schema = {"classes": {"Reading": {"attributes": {"oven": {}, "heat": {"range": "Heat", "inlined": True}}}, "Heat": {"attributes": {"degrees": {"range": "float"}, "scale": {}}}}}
+    spec = {"class_derivations": {"Reading": {"slot_derivations": {"oven": None, "kelvin": {"expr": "case((heat.scale == 'K', heat.degrees), (heat.scale == 'C', heat.degrees + 273.15))"}}}}}
     m = ObjectMapper(spark, spec, schema)
-    assert m.transform_many([{"id": "P:1", "height": {"value": 172.0, "unit": "cm"}}, {"id": "P:2", "height": {"value": 1.72, "unit": "m"}}], "Person") == [{"id": "P:1", "height_in_cm": 172.0}, {"id": "P:2", "height_in_cm": None}]
+    rows = [{"oven": "north", "heat": {"degrees": 450.0, "scale": "K"}}, {"oven": "south", "heat": {"degrees": 100.0, "scale": "C"}}, {"oven": "east", "heat": {"degrees": 1.0, "scale": "?"}}, {"oven": "west", "heat": None}]
+    assert m.transform_many(rows, "Reading") == [{"oven": "north", "kelvin": 450.0}, {"oven": "south", "kelvin": 373.15}, {"oven": "east", "kelvin": None}, {"oven": "west", "kelvin": None}]
 
 
-def test_flattening(spark):
+def test_library_loans(spark):
+    """References between the objects of one container, by identifier."""
     schema = {"classes": {
-        "MappingSet": {"tree_root": True, "attributes": {"mappings": {"range": "Mapping", "multivalued": True, "inlined_as_list": True}, "entities": {"range": "Entity", "multivalued": True, "inlined": True}}},
-        "Mapping": {"attributes": {"subject": {"range": "Entity"}, "object": {"range": "Entity"}, "predicate": {}}},
-        "Entity": {"attributes": {"id": {"identifier": True}, "name": {}}},
+        "Library": {"tree_root": True, "attributes": {"loans": {"range": "Loan", "multivalued": True, "inlined_as_list": True}, "books": {"range": "Book", "multivalued": True, "inlined": True}}},
+        "Loan": {"attributes": {"book": {"range": "Book"}, "days": {"range": "integer"}}},
+        "Book": {"attributes": {"isbn": {"identifier": True}, "title": {}, "shelf": {"range": "integer"}}},
     }}
     spec = {"class_derivations": {
-        "MappingSet": {"slot_derivations": {"mappings": {"populated_from": "mappings"}}},
-        "Flat": {"populated_from": "Mapping", "slot_derivations": {"subject_id": {"populated_from": "subject"}, "subject_name": {"expr": "subject.name"}, "object_id": {"populated_from": "object"}, "object_name": {"expr": "object.name"}, "predicate_id": {"populated_from": "predicate"}}},
+        "Library": {"slot_derivations": {"lent": {"populated_from": "loans"}}},
+        "Lent": {"populated_from": "Loan", "slot_derivations": {"which": {"populated_from": "book"}, "label": {"expr": "book.title + ' @' + str(book.shelf)"}, "weeks": {"expr": "days // 7"}}},
     }}
-    got = ObjectMapper(spark, spec, schema).map_object({"mappings": [{"subject": "X:1", "object": "Y:1", "predicate": "P:1"}], "entities": {"X:1": {"name": "x1"}, "Y:1": {"name": "y1"}}})
-    assert got == {"mappings": [{"subject_id": "X:1", "subject_name": "x1", "object_id": "Y:1", "object_name": "y1", "predicate_id": "P:1"}]}
+    books = {"b-7": {"title": "Tides", "shelf": 4}, "b-9": {"title": "Moss", "shelf": 11}}
+    got = ObjectMapper(spark, spec, schema).map_object({"loans": [{"book": "b-9", "days": 20}, {"book": "b-7", "days": 7}, {"book": "lost", "days": 3}], "books": books})
+    assert got == {"lent": [{"which": "b-9", "label": "Moss @11", "weeks": 2}, {"which": "b-7", "label": "Tides @4", "weeks": 1}, {"which": "lost", "label": None, "weeks": 0}]}
 
 
-def test_type_coercion(spark):
-    schema = {"prefixes": {"example": "https://example.org/", "P": "https://example.org/person/"}, "classes": {"MyRecord": {"attributes": {"id": {"range": "uriorcurie"}, "url": {"range": "uri"}, "name": {}, "age_as_integer": {"range": "integer"}}}}}
-    spec = {"class_derivations": {"MyRecord": {"slot_derivations": {"id_as_string": {"populated_from": "id", "range": "string"}, "id_as_url": {"populated_from": "id", "range": "uri"}, "url_as_curie": {"populated_from": "url", "range": "curie"}, "age_as_float": {"populated_from": "age_as_integer", "range": "float"}, "age_as_string": {"populated_from": "age_as_integer", "range": "string"}}}}}
-    got = ObjectMapper(spark, spec, schema).map_object({"id": "P:1", "name": "my name", "age_as_integer": 33, "url": "https://example.org/foo"})
-    assert got == {"id_as_string": "P:1", "id_as_url": "https://example.org/person/1", "url_as_curie": "example:foo", "age_as_float": 33.0, "age_as_string": "33"}
+def test_parcel_labels(spark):
+    """Datatypes and identifiers of another form on the way."""
+    schema = {"prefixes": {"depot": "https://parcels.test/depot/"}, "classes": {"Parcel": {"attributes": {"at": {"range": "uriorcurie"}, "page": {"range": "uri"}, "grams": {"range": "integer"}, "code": {}}}}}
+    spec = {"class_derivations": {"Label": {"populated_from": "Parcel", "slot_derivations": {"depot": {"populated_from": "at", "range": "uri"}, "page": {"populated_from": "page", "range": "curie"}, "grams": {"populated_from": "grams", "range": "string"}, "code": {"populated_from": "code", "range": "integer"}}}}}
+    got = ObjectMapper(spark, spec, schema).transform_many([{"at": "depot:12", "page": "https://parcels.test/depot/12/map", "grams": 250, "code": "0042"}], "Parcel")
+    assert got == [{"depot": "https://parcels.test/depot/12", "page": "depot:12/map", "grams": "250", "code": 42}]
 
 
-def test_single_value_for_multivalued(spark):
-    schema = {"classes": {"Container": {"tree_root": True, "attributes": {"my_greetings": {"range": "Greeting", "multivalued": True, "inlined_as_list": True}}}, "Greeting": {"attributes": {"greeting": {"range": "Hello", "multivalued": True}}}}, "enums": {"Hello": {"permissible_values": {"hello": {}, "ciao": {}, "namaste": {}}}}}
-    spec = {"class_derivations": {"Container": {"slot_derivations": {"my_languages": {"populated_from": "my_greetings"}}}, "Language": {"populated_from": "Greeting", "slot_derivations": {"language": {"populated_from": "greeting"}}}}, "enum_derivations": {"Lang": {"populated_from": "Hello", "permissible_value_derivations": {"English": {"populated_from": "hello"}, "Italian": {"populated_from": "ciao"}, "Hindi": {"populated_from": "namaste"}}}}}
-    got = ObjectMapper(spark, spec, schema).map_object({"my_greetings": [{"greeting": ["hello", "ciao"]}, {"greeting": "namaste"}]})
-    assert got == {"my_languages": [{"language": ["English", "Italian"]}, {"language": ["Hindi"]}]}
+def test_single_signal_for_several(spark):
+    """One value where several may stand, through an enum."""
+    schema = {"classes": {"Line": {"tree_root": True, "attributes": {"posts": {"range": "Post", "multivalued": True, "inlined_as_list": True}}}, "Post": {"attributes": {"lamps": {"range": "Lamp", "multivalued": True}}}}, "enums": {"Lamp": {"permissible_values": {"r": {}, "g": {}}}}}
+    spec = {"class_derivations": {"Line": {"slot_derivations": {"signals": {"populated_from": "posts"}}}, "Signal": {"populated_from": "Post", "slot_derivations": {"shows": {"populated_from": "lamps"}}}}, "enum_derivations": {"Aspect": {"populated_from": "Lamp", "permissible_value_derivations": {"STOP": {"populated_from": "r"}, "GO": {"populated_from": "g"}}}}}
+    got = ObjectMapper(spark, spec, schema).map_object({"posts": [{"lamps": ["g", "r"]}, {"lamps": "r"}, {"lamps": []}]})
+    assert got == {"signals": [{"shows": ["GO", "STOP"]}, {"shows": ["STOP"]}, {"shows": []}]}
 
 
-def test_registered_tables(spark):
-    schema = {"classes": {"A": {"attributes": {"k": {}}}, "B": {"attributes": {"k": {}, "v": {"range": "integer"}}}}}
-    spec = {"class_derivations": {"A": {"joins": {"B": {"join_on": "k"}}, "slot_derivations": {"v": {"populated_from": "B.v"}}}}}
-    m = ObjectMapper(spark, spec, schema).register_join_table("B", [{"k": "x", "v": 1}, {"k": "x", "v": 2}], "k")
-    assert m.transform_many([{"k": "x"}, {"k": "y"}, {"k": None}], "A") == [{"v": 1}, {"v": None}, {"v": None}]
+def test_tariffs(spark):
+    """A registered table: the first row of a key counts, a null key finds nothing."""
+    schema = {"classes": {"Call": {"attributes": {"zone": {}}}, "Tariff": {"attributes": {"zone": {}, "cents": {"range": "integer"}}}}}
+    spec = {"class_derivations": {"Call": {"joins": {"Tariff": {"join_on": "zone"}}, "slot_derivations": {"cents": {"populated_from": "Tariff.cents"}}}}}
+    m = ObjectMapper(spark, spec, schema).register_join_table("Tariff", [{"zone": "z1", "cents": 9}, {"zone": "z1", "cents": 30}], "zone")
+    assert m.transform_many([{"zone": "z1"}, {"zone": "z2"}, {"zone": None}], "Call") == [{"cents": 9}, {"cents": None}, {"cents": None}]
     assert m.validate() == []
