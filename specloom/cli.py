@@ -66,11 +66,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     spark = spark or SparkSession.builder.appName("specloom").getOrCreate()
     schema, spec = Schema(load(a.schema), load(a.transformer_specification).get("source_schema_patches")), normalise(a.transformer_specification)
-    mapper = Mapper(spec, schema, load(a.target_schema) if a.target_schema else None, on_bad_cast=a.on_bad_cast)
+    mapper = Mapper(spec, schema, load(a.target_schema) if a.target_schema else None, on_bad_cast=a.on_bad_cast, ordered=not a.unordered)
     cls = a.source_type or (spec["class_derivations"][0].get("populated_from") or spec["class_derivations"][0]["name"])
     if os.path.isdir(a.input) and not a.input.endswith((".parquet", ".jsonl", ".csv")):
         others = {j.get("class_named") or k: False for c in spec["class_derivations"] for k, j in c["joins"].items()}
-        tables = io.read_directory(spark, a.input, schema, {**others, cls: True})
+        tables = io.read_directory(spark, a.input, schema, {**others, cls: True}, {c for c in schema.classes if c not in others and c != cls})
     else:
         tables = {cls: io.read(spark, a.input, schema, cls)}
     io.write(mapper.transform(tables, cls), a.output, a.output_format, mode="overwrite")

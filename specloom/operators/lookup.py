@@ -25,9 +25,9 @@ def usable_key(df: DataFrame, key: str):
 
 
 def first_match(df: DataFrame, source_key: str, table: DataFrame, key: str, alias: str, columns: list[str]) -> DataFrame:
-    """df with the first row of table whose key equals source_key, as struct column alias (null without a match)."""
+    """df with the first row of table whose key equals source_key, as struct column _j_<alias>, a name that no column has (null without a match)."""
     rows = positioned(table)
-    rows = rows.select(usable_key(table, key).alias(f"_k_{alias}"), F.col(POSITION), F.struct(*[F.col(c) for c in columns]).alias(alias)).where(F.col(f"_k_{alias}").isNotNull())
+    rows = rows.select(usable_key(table, key).alias(f"_k_{alias}"), F.col(POSITION), F.struct(*[F.col(c) for c in columns]).alias(f"_j_{alias}")).where(F.col(f"_k_{alias}").isNotNull())
     order = Window.partitionBy(f"_k_{alias}").orderBy(POSITION)
     rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", POSITION)
     return df.join(rows, usable_key(df, source_key) == F.col(f"_k_{alias}"), "left").drop(f"_k_{alias}")

@@ -27,15 +27,16 @@ class Mapper:
     source_schema, target_schema: schema mappings (or Schema); without a source schema one is taken from the tables.
     strict: unknown names in expressions are errors. nested_row: merged lets nested objects on another table read the
     joined row first and then the parent row; parent reads the parent row only. on_bad_cast: null, keep or error.
+    ordered: rows come in the order of the source table (a global sort); pivots have no such order.
     """
 
-    def __init__(self, spec, source_schema=None, target_schema=None, strict: bool = False, nested_row: str = "merged", on_bad_cast: str = "null"):
+    def __init__(self, spec, source_schema=None, target_schema=None, strict: bool = False, nested_row: str = "merged", on_bad_cast: str = "null", ordered: bool = False):
         self.spec = normalise(spec)
         given = source_schema if isinstance(source_schema, Schema) or source_schema is None else Schema(source_schema)
         patches = self.spec.get("source_schema_patches")
         self.source = Schema(given.definition, patches) if given is not None and patches else given
         self.target = target_schema if isinstance(target_schema, Schema) or target_schema is None else Schema(target_schema)
-        self.strict, self.nested_row, self.on_bad_cast = strict, nested_row, on_bad_cast
+        self.strict, self.nested_row, self.on_bad_cast, self.ordered = strict, nested_row, on_bad_cast, ordered
         self.tables: dict[str, tuple[DataFrame, str | None]] = {}
 
     def register_join_table(self, name: str, table: DataFrame, key: str | None = None) -> Mapper:
@@ -84,7 +85,7 @@ class Mapper:
         if operation and operation.get("direction", "").upper() == "MELT":
             fallback = list(self.target.induced(derivation["name"])) if self.target and self.target.has_class(derivation["name"]) else None
             return pivot.melt(df, {**operation, "source_slots": operation.get("source_slots") or fallback})
-        df, scope = plan.joined(df)
+        df, scope = plan.joined(lookup.positioned(df) if self.ordered and not operation else df)
         if operation:
             targets = operation.get("unmelt_to_slots") or list(self.target.induced(derivation["name"]) if self.target else derivation["slot_derivations"])
             records = next((v for v in scope.values() if v.kind == "list" and isinstance(v.type.elementType, T.StructType) and operation.get("variable_slot", "variable") in v.type.elementType.fieldNames()), None)
@@ -92,6 +93,8 @@ class Mapper:
                 return pivot.unmelt(df, operation, targets)
             made = pivot.unmelt_collection(records, operation, targets) if records else pivot.unmelt_record(scope, operation, targets)
             return df.select(*[v.col.alias(k) for k, v in made.items()])
+        if self.ordered:
+            return plan.project(df, scope, (lookup.POSITION,)).orderBy(lookup.POSITION).drop(lookup.POSITION)
         return plan.project(df, scope)
 
 
@@ -106,7 +109,7 @@ class _Plan:
 
     # -- joins --------------------------------------------------------------------------------------------------------
     def joined(self, df: DataFrame) -> tuple[DataFrame, dict[str, Typed]]:
-        base = {f.name: Typed(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+        base = {f.name: Typed(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if f.name != lookup.POSITION}
         first, every = join_rules.uses(self.derivation)
         for alias, j in self.derivation["joins"].items():
             table = self.tables.get(j.get("class_named") or alias)
@@ -128,7 +131,7 @@ class _Plan:
             columns = [c for c in table.columns if c in first.get(alias, ())] or [key]
             if alias in first:
                 df = lookup.first_match(df, source_key, table, key, alias, columns)
-                self.aliases[alias] = Typed(F.col(f"`{alias}`"), df.schema[alias].dataType)
+                self.aliases[alias] = Typed(F.col(f"`_j_{alias}`"), df.schema[f"_j_{alias}"].dataType)
         self._containers(base)
         return df, base
 
@@ -142,8 +145,8 @@ class _Plan:
                     self.containers.setdefault(slot.range, found)
 
     # -- projection ---------------------------------------------------------------------------------------------------
-    def project(self, df: DataFrame, base: dict[str, Typed]) -> DataFrame:
-        """One select; slots that others read through slot() are columns of their own first, so nothing is repeated."""
+    def project(self, df: DataFrame, base: dict[str, Typed], kept: tuple = ()) -> DataFrame:
+        """One select, with the columns kept as they are; slots that others read through slot() are columns of their own first, so nothing is repeated."""
         read = join_rules.slots_read(self.derivation)
         made: dict[str, Typed] = {}
         for name, s in self.derivation["slot_derivations"].items():
@@ -155,7 +158,7 @@ class _Plan:
                 v = Typed(F.col(f"`{column}`"), v.type)
             made[name] = v
         shown = {k: v for k, v in made.items() if not self.derivation["slot_derivations"][k].get("hide")}
-        return df.select(*[(v.col.cast(STRING) if v.kind == "null" else v.col).alias(k) for k, v in shown.items()])
+        return df.select(*[(v.col.cast(STRING) if v.kind == "null" else v.col).alias(k) for k, v in shown.items()], *kept)
 
     def object(self, derivation: dict, source: dict[str, Typed], cls: str | None, extra: dict[str, Typed]) -> Typed:
         made: dict[str, Typed] = {}

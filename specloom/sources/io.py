@@ -80,13 +80,14 @@ def _yaml(spark: SparkSession, path: str, struct: T.StructType | None) -> DataFr
     return one.select(F.from_json("value", struct).alias("v")).select("v.*")
 
 
-def read_directory(spark: SparkSession, path: str, schema: Schema, needed: dict[str, bool]) -> dict[str, DataFrame]:
-    """{class: table} for files named after classes. needed: class -> whether it must exist; absent others are empty."""
+def read_directory(spark: SparkSession, path: str, schema: Schema, needed: dict[str, bool], also: set[str] = frozenset()) -> dict[str, DataFrame]:
+    """{class: table} for files named after classes. needed: class -> whether it must exist; absent others are empty.
+    also: classes that are read where they have a file (joins that a specification implies may need them)."""
     listing = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = listing.getFileSystem(spark._jsc.hadoopConfiguration())
     files = {os.path.splitext(s.getPath().getName())[0]: str(s.getPath()) for s in fs.listStatus(listing) if os.path.splitext(s.getPath().getName())[1][1:].lower() in FORMATS}
     out = {}
-    for cls, required in needed.items():
+    for cls, required in [*needed.items(), *((c, False) for c in sorted(also) if c in files)]:
         if cls in files:
             out[cls] = read(spark, files[cls], schema, cls if schema.has_class(cls) else None)
         elif required:
@@ -102,15 +103,43 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`").cast("string"), F.lit("")).alias(f.name) for f in df.schema.fields])
 
 
+def _holds_no_number(c, kind: T.DataType):
+    """Whether a value holds a number that JSON cannot hold, at any depth; None for types without floats."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, T.StructType):
+        parts = [t for f in kind.fields if (t := _holds_no_number(c[f.name], f.dataType)) is not None]
+        out = None
+        for t in parts:
+            out = t if out is None else out | t
+        return out
+    if isinstance(kind, T.ArrayType):
+        inside = _holds_no_number(F.lit(None).cast(kind.elementType), kind.elementType)
+        return None if inside is None else F.coalesce(F.exists(c, lambda x: _holds_no_number(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        return _holds_no_number(F.map_values(c), T.ArrayType(kind.valueType))
+    return None
+
+
 def finite(df: DataFrame) -> DataFrame:
-    """Fails rows with a number that JSON cannot hold."""
-    bad = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    check = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("a number is not finite")).cast("double")).otherwise(c)
-    return df.withColumns({c: check(F.col(f"`{c}`")) for c in bad}) if bad else df
+    """Fails rows with a number, at any depth, that JSON cannot hold."""
+    tests = {f.name: _holds_no_number(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+    failing = {n: F.when(t, F.raise_error(F.lit("a number is not finite")).cast(df.schema[n].dataType)).otherwise(F.col(f"`{n}`")) for n, t in tests.items() if t is not None}
+    return df.withColumns(failing) if failing else df
+
+
+def views(tables: dict[str, DataFrame]) -> None:
+    """Temporary views of tables, for spark.sql."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
 
 
 def write(df: DataFrame, path: str, format: str | None = None, mode: str = "error") -> None:
-    """A table in the format of the path's suffix; "-" is standard output and needs a format."""
+    """A table in the format of the path's suffix; "-" is standard output and needs a format; "table:NAME" is a table
+    of the session's catalog."""
+    if path.startswith("table:"):
+        df.write.mode(mode).saveAsTable(path[6:])
+        return None
     if path == "-":
         if not format:
             raise SpecError("standard output needs a format")

@@ -196,3 +196,38 @@ def test_round_and_power_from_the_tree(spark):
     assert tuple(run("a", "b", "c", "d", "e", "f")) == (1.235, 1.23, 0.0, 1024.0, 1000, 7**22)
     with pytest.raises(Exception):
         run("g")
+
+
+def test_ordered_rows_through_joins(spark):
+    left = spark.range(500).selectExpr("(id * 37) % 500 AS k").coalesce(1)
+    right = spark.range(500).selectExpr("id AS k", "id * 2 AS v")
+    spec = {"class_derivations": {"Out": {"populated_from": "l", "joins": {"r": {"source_key": "k", "lookup_key": "k"}}, "slot_derivations": {"k": None, "v": {"populated_from": "r.v"}}}}}
+    out = Mapper(spec, ordered=True).transform({"l": left, "r": right}, "l")
+    assert out.columns == ["k", "v"] and [r.k for r in out.collect()] == [i * 37 % 500 for i in range(500)]
+
+
+def test_directory_with_an_implied_join(spark, tmp_path):
+    import json as j
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/Pet.csv").write_text("id,owner\np1,o2\np2,o1\np3,o9\n")
+    (tmp_path / "in/Owner.csv").write_text("owner,town\no1,Ulm\no2,Jena\n")
+    schema = {"classes": {"Pet": {"attributes": {"id": {"identifier": True}, "owner": {}}}, "Owner": {"attributes": {"owner": {"identifier": True}, "town": {}}}}}
+    spec = {"class_derivations": {"Card": {"populated_from": "Pet", "slot_derivations": {"id": {"populated_from": "id"}, "town": {"populated_from": "Owner.town"}}}}}
+    (tmp_path / "s.yaml").write_text(j.dumps(schema))
+    (tmp_path / "t.yaml").write_text(j.dumps(spec))
+    assert main(["map-data", str(tmp_path / "in"), "-T", str(tmp_path / "t.yaml"), "-s", str(tmp_path / "s.yaml"), "-o", str(tmp_path / "out.json")], spark) == 0
+    assert j.loads((tmp_path / "out.json").read_text()) == [{"id": "p1", "town": "Jena"}, {"id": "p2", "town": "Ulm"}, {"id": "p3", "town": None}]
+
+
+def test_finite_numbers_at_any_depth(spark):
+    good = spark.sql("SELECT 1.5D AS a, array(named_struct('x', 2.5D)) AS b, map('k', 1D) AS c, 'NaN' AS d")
+    assert io.finite(good).count() == 1 and io.finite(good).first().b[0].x == 2.5
+    for bad in ("array(named_struct('x', double('NaN')))", "map('k', double('Infinity'))", "named_struct('y', array(double('-Infinity')))"):
+        with pytest.raises(Exception):
+            io.finite(spark.sql(f"SELECT {bad} AS a")).collect()
+
+
+def test_views(spark):
+    io.views({"some_view": spark.range(3)})
+    assert spark.sql("SELECT sum(id) AS s FROM some_view").first().s == 3
