@@ -71,6 +71,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         docs = common.cut(docs) if i < len(STAGES) - 1 else docs
+        common.drop(before)  # packing, too, has read all it needs by now
     return docs
