@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-from specloom.llm import quality_rules, simhash_dedup, substring_dedup
+from specloom.llm import common, quality_rules, simhash_dedup, substring_dedup
 
 KIND = "doc_id long, text string, lang string, n_words int, pos string"
 
@@ -203,7 +203,6 @@ def test_cutoffs_are_chosen_on_the_given_tables(spark):
         pytest.skip("no tables")
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("stratum"), "text")
-    cuts = {x.stratum: x for x in quality_rules.thresholds(quality_rules.with_features(docs).drop("text"), spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("stratum"), "text").repartition(16)
+    cuts = {x.stratum: x for x in quality_rules.thresholds(common.cut(quality_rules.with_features(docs).drop("text")), spark.read.parquet(f"{d}/labels.parquet")).collect()}
     assert cuts["en"].symbols is not None and cuts["en"].word_length is not None
-    assert quality_rules.judge(quality_rules.with_features(docs.limit(0)).drop("text"), spark.read.parquet(f"{d}/labels.parquet").limit(0)).count() == 0
