@@ -26,6 +26,8 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("-o", "--output", default="-")
     m.add_argument("-f", "--output-format")
     m.add_argument("--unordered", action="store_true", help="do not keep the input order (faster)")
+    m.add_argument("--extensions", action="store_true", help="expressions may call the additional functions")
+    m.add_argument("--grouped", action="store_true", help="aggregates are taken over groups of equal other slots")
     m.add_argument("--on-bad-cast", choices=("null", "keep", "error"), default="null")
     d = sub.add_parser("derive-schema", help="the target schema that a specification implies")
     d.add_argument("-T", "--transformer-specification", required=True)
@@ -66,7 +68,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     spark = spark or SparkSession.builder.appName("specloom").getOrCreate()
     schema, spec = Schema(load(a.schema), load(a.transformer_specification).get("source_schema_patches")), normalise(a.transformer_specification)
-    mapper = Mapper(spec, schema, load(a.target_schema) if a.target_schema else None, on_bad_cast=a.on_bad_cast, ordered=not a.unordered)
+    mapper = Mapper(spec, schema, load(a.target_schema) if a.target_schema else None, on_bad_cast=a.on_bad_cast, ordered=not a.unordered, extensions=a.extensions, grouped=a.grouped)
     cls = a.source_type or (spec["class_derivations"][0].get("populated_from") or spec["class_derivations"][0]["name"])
     if os.path.isdir(a.input) and not a.input.endswith((".parquet", ".jsonl", ".csv")):
         others = {j.get("class_named") or k: False for c in spec["class_derivations"] for k, j in c["joins"].items()}

@@ -25,13 +25,13 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
 class Scope:
-    """What names mean: a mapping of names to Typed values, earlier target slots, and strictness."""
+    """What names mean: a mapping of names to Typed values, earlier target slots, strictness, and the functions there are."""
 
-    def __init__(self, names: dict[str, Typed], slots: dict[str, Typed] | None = None, strict: bool = False):
-        self.names, self.slots, self.strict = names, slots or {}, strict
+    def __init__(self, names: dict[str, Typed], slots: dict[str, Typed] | None = None, strict: bool = False, functions: dict | None = None):
+        self.names, self.slots, self.strict, self.functions = names, slots or {}, strict, functions or FUNCTIONS
 
-    def with_name(self, name: str, value: Typed) -> Scope:
-        return Scope({**self.names, name: value}, self.slots, self.strict)
+    def with_names(self, names: dict[str, Typed]) -> Scope:
+        return Scope({**self.names, **names}, self.slots, self.strict, self.functions)
 
 
 def is_block(source: str) -> bool:
@@ -88,7 +88,7 @@ class _Compiler:
 
     def _run(self, statements: list, env: dict[str, Typed]) -> dict[str, Typed]:
         for s in statements:
-            inner = _Compiler(Scope({**self.scope.names, **env}, self.scope.slots, self.scope.strict), True)
+            inner = _Compiler(self.scope.with_names(env), True)
             if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
                 env = {**env, s.targets[0].id: inner.value(s.value)}
             elif isinstance(s, ast.If) and not s.orelse:
@@ -194,7 +194,7 @@ class _Compiler:
             over = Typed(F.map_keys(over.col), T.ArrayType(over.type.keyType))
         if over.kind != "list":
             raise ExpressionError(f"cannot iterate over a {over.kind} value")
-        inside = lambda x: _Compiler(self.scope.with_name(g.target.id, over.element(x)), self.in_block)
+        inside = lambda x: _Compiler(self.scope.with_names({g.target.id: over.element(x)}), self.in_block)
         kept = over.col
         for test in g.ifs:
             kept = F.filter(kept, self._keeps(inside, test))
@@ -291,8 +291,8 @@ class _Compiler:
         if not isinstance(node.func, ast.Name):
             raise ExpressionError("method calls are not part of the language")
         name = node.func.id
-        if node.keywords or name not in FUNCTIONS:
-            raise ExpressionError(f"unknown function {name!r}" if name not in FUNCTIONS else "keyword arguments are not part of the language")
+        if node.keywords or name not in self.scope.functions:
+            raise ExpressionError(f"unknown function {name!r}" if name not in self.scope.functions else "keyword arguments are not part of the language")
         if name == "case":
             return self._case(node.args)
         if name == "slot":
@@ -300,7 +300,7 @@ class _Compiler:
         if name == "round" and len(node.args) == 2:
             return self._round(node.args)
         args = [self.value(a) for a in node.args]
-        f, spreads = FUNCTIONS[name]
+        f, spreads = self.scope.functions[name]
         if spreads and args and args[0].kind == "list":
             first, rest = args[0], args[1:]
             kind = f(first.element(F.lit(None)), *rest).type

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,3 +110,31 @@ def over_rows(v: Typed, position: Column, operation: dict) -> tuple[Column, T.Da
         return F.sum(n.col), n.type, F.lit(0).cast(n.type)
     f = {"AVERAGE": F.avg, "MEDIAN": F.median, "VARIANCE": F.var_pop, "STD_DEV": F.stddev_pop}[op]
     return f(n.col.cast(DOUBLE)), DOUBLE, None
+
+
+def over_groups(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[Typed, dict]], position: str) -> DataFrame:
+    """One row per combination of keys (one row without keys), with each wanted {column: (value, operation)} over its
+    rows, which are ordered by a position. SET and MODE are counted per value first and joined to the others."""
+    plain, counted, empties = [], [], {}
+    by = [F.col(f"`{k}`") for k in keys]
+    for name, (v, operation) in wanted.items():
+        if operation["operator"].upper() in ("SET", "MODE"):
+            counted.append(name)
+            continue
+        column, _, empties[name] = over_rows(v, F.col(position), operation)
+        plain.append(column.alias(name))
+    made = [rows.groupBy(*by).agg(*plain)] if plain else []
+    for name in counted:
+        v, operation = wanted[name]
+        values = rows.groupBy(*by, key_text(v).alias("_v")).agg(F.min_by(F.struct(v.col.alias("v")), F.col(position)).alias("x"), F.count(F.lit(1)).alias("n"), F.min(position).alias("p"))
+        column, _, empties[name] = over_values(v, operation)
+        made.append(values.groupBy(*by).agg(column.alias(name)))
+    out = made[0]
+    for k, more in enumerate(made[1:]):
+        names = {n: f"_g{k}_{i}" for i, n in enumerate(keys)}
+        more = more.select(*[F.col(f"`{n}`").alias(to) for n, to in names.items()], *[F.col(f"`{c}`") for c in more.columns if c not in keys])
+        same = F.lit(True)
+        for n, to in names.items():
+            same = same & F.col(f"`{n}`").eqNullSafe(F.col(to))
+        out = out.join(more, same).drop(*names.values())
+    return out.select(*by, *[(F.col(f"`{n}`") if empties[n] is None else F.coalesce(F.col(f"`{n}`"), empties[n])).alias(n) for n in wanted])

@@ -26,11 +26,29 @@ def usable_key(df: DataFrame, key: str):
 
 def first_match(df: DataFrame, source_key: str, table: DataFrame, key: str, alias: str, columns: list[str]) -> DataFrame:
     """df with the first row of table whose key equals source_key, as struct column _j_<alias>, a name that no column has (null without a match)."""
+    rows = _firsts(table, key, alias, columns)
+    return df.join(rows, usable_key(df, source_key) == F.col(f"_k_{alias}"), "left").drop(f"_k_{alias}")
+
+
+def _firsts(table: DataFrame, key: str, alias: str, columns: list[str]) -> DataFrame:
+    """The first row of each key, as _k_<alias> and struct _j_<alias>."""
     rows = positioned(table)
     rows = rows.select(usable_key(table, key).alias(f"_k_{alias}"), F.col(POSITION), F.struct(*[F.col(c) for c in columns]).alias(f"_j_{alias}")).where(F.col(f"_k_{alias}").isNotNull())
     order = Window.partitionBy(f"_k_{alias}").orderBy(POSITION)
-    rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", POSITION)
-    return df.join(rows, usable_key(df, source_key) == F.col(f"_k_{alias}"), "left").drop(f"_k_{alias}")
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", POSITION)
+
+
+def listed_matches(df: DataFrame, source_key: str, table: DataFrame, key: str, alias: str, columns: list[str]) -> DataFrame:
+    """df with, for the list of keys in source_key, the list of their first rows in table as _j_<alias> (null where a key
+    has none). Each different list is taken apart once and joined back by its value, so that no row needs a number."""
+    at = f"_l_{alias}"
+    lists = df.select(F.col(source_key).alias(at)).where(F.size(at) > 0).distinct()
+    each = lists.select(at, F.posexplode(at).alias("_p", "_id"))
+    kind = Typed(None, df.schema[source_key].dataType.elementType).kind
+    of = F.col("_id").cast("string") if kind in ("int", "text") else F.lit(None).cast("string")
+    found = each.join(_firsts(table, key, alias, columns), of == F.col(f"_k_{alias}"), "left")
+    found = found.groupBy(at).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", f"_j_{alias}"))), lambda s: s[f"_j_{alias}"]).alias(f"_j_{alias}"))
+    return df.join(found, F.col(source_key) == F.col(at), "left").drop(at)
 
 
 def all_matches(df: DataFrame, source_key: str, table: DataFrame, key: str, alias: str, wanted: dict[str, tuple[str, dict]]) -> tuple[DataFrame, dict[str, Typed]]:

@@ -91,8 +91,20 @@ def synthesise(spec: dict, derivation: dict, schema: Schema, name: str, tables:
     return out
 
 
-def uses(derivation: dict) -> tuple[dict, dict]:
-    """(alias -> columns read from its first match, alias -> [(slot, column, aggregate)] over all its matches)."""
+def followed(derivation: dict) -> dict[str, set[str]]:
+    """Slots of which expressions read attributes -> those attributes."""
+    out: dict[str, set[str]] = {}
+    for s, _ in _slots(derivation):
+        for text in _expressions(s):
+            for root, attribute in references(text)[1]:
+                if root not in derivation["joins"]:
+                    out.setdefault(root, set()).add(attribute)
+    return dict(sorted(out.items()))
+
+
+def uses(derivation: dict, grouped: bool = False) -> tuple[dict, dict]:
+    """(alias -> columns read from its first match, alias -> [(slot, column, aggregate)] over all its matches).
+    Under grouping aggregates read the first match too."""
     first: dict = {}
     every: dict[str, list] = {}
     joins = derivation["joins"]
@@ -100,7 +112,7 @@ def uses(derivation: dict) -> tuple[dict, dict]:
         path = s.get("populated_from") or ""
         root, _, field = path.partition(".")
         if root in joins and field:
-            if s.get("aggregation_operation"):
+            if s.get("aggregation_operation") and not grouped:
                 every.setdefault(root, []).append((s["name"], field, s["aggregation_operation"]))
             else:
                 first.setdefault(root, set()).add(field.split(".")[0])

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..errors import SpecError, UnitError
 from ..functions import units
-from ..functions.expression import Scope, compile_expression, references
+from ..functions.expression import FUNCTIONS, Scope, compile_expression, references
+from ..functions.extensions import EXTENDED
 from ..functions.typed import DOUBLE, STRING, Typed, array, key_text, literal, null, number, struct
 from ..operators import aggregate, coerce, lookup, pivot
 from . import joins as join_rules
@@ -27,16 +28,21 @@ class Mapper:
     source_schema, target_schema: schema mappings (or Schema); without a source schema one is taken from the tables.
     strict: unknown names in expressions are errors. nested_row: merged lets nested objects on another table read the
     joined row first and then the parent row; parent reads the parent row only. on_bad_cast: null, keep or error.
-    ordered: rows come in the order of the source table (a global sort); pivots have no such order.
+    ordered: rows come in the order of the source table (a global sort); pivots and groups have no such order.
+    extensions: expressions may call the functions of functions/extensions.py too. grouped: a derivation with aggregates
+    gives one row per distinct combination of its other slots (constants left out), each aggregate taken over the rows
+    of the group; a column of another table is that of the row's first match. Without it, an aggregate reduces a list
+    of the row or all rows that a lookup matches.
     """
 
-    def __init__(self, spec, source_schema=None, target_schema=None, strict: bool = False, nested_row: str = "merged", on_bad_cast: str = "null", ordered: bool = False):
+    def __init__(self, spec, source_schema=None, target_schema=None, strict: bool = False, nested_row: str = "merged", on_bad_cast: str = "null", ordered: bool = False, extensions: bool = False, grouped: bool = False):
         self.spec = normalise(spec)
         given = source_schema if isinstance(source_schema, Schema) or source_schema is None else Schema(source_schema)
         patches = self.spec.get("source_schema_patches")
         self.source = Schema(given.definition, patches) if given is not None and patches else given
         self.target = target_schema if isinstance(target_schema, Schema) or target_schema is None else Schema(target_schema)
         self.strict, self.nested_row, self.on_bad_cast, self.ordered = strict, nested_row, on_bad_cast, ordered
+        self.functions, self.grouped = EXTENDED if extensions else FUNCTIONS, grouped
         self.tables: dict[str, tuple[DataFrame, str | None]] = {}
 
     def register_join_table(self, name: str, table: DataFrame, key: str | None = None) -> Mapper:
@@ -75,13 +81,25 @@ class Mapper:
         return first.get("populated_from") or first["name"]
 
     # -- rows ---------------------------------------------------------------------------------------------------------
+    def _values(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of values of an enum or a type, in its one column: enum values mapped, others as they are."""
+        if len(df.columns) != 1:
+            raise SpecError(f"values of {name} stand in one column, not in {len(df.columns)}")
+        if name in self.source.types:
+            return df
+        field = df.schema.fields[0]
+        made = _Plan(self, self.source, {"joins": {}, "slot_derivations": {}}, name, {}, df).enum(Typed(F.col(f"`{field.name}`"), field.dataType), [name])
+        return df.select(made.col.alias(field.name))
+
     def _rows(self, df: DataFrame, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+        if self.source and not self.source.has_class(name) and (name in self.source.enums or name in self.source.types):
+            return self._values(df, name)
         derivation = derivation_for(self.spec, name)
         known = {t: d for t, (d, _) in self.tables.items()} | {t: d for t, d in tables.items() if t != name}
         schema = self.source or Schema.from_struct({t: d.schema for t, d in {**known, name: df}.items()})
         derivation = join_rules.synthesise(self.spec, derivation, schema, name, {t: d.columns for t, d in known.items()})
         operation = derivation.get("pivot_operation")
-        plan = _Plan(self, schema, derivation, name, known)
+        plan = _Plan(self, schema, derivation, name, known, df)
         if operation and operation.get("direction", "").upper() == "MELT":
             fallback = list(self.target.induced(derivation["name"])) if self.target and self.target.has_class(derivation["name"]) else None
             return pivot.melt(df, {**operation, "source_slots": operation.get("source_slots") or fallback})
@@ -93,6 +111,8 @@ class Mapper:
                 return pivot.unmelt(df, operation, targets)
             made = pivot.unmelt_collection(records, operation, targets) if records else pivot.unmelt_record(scope, operation, targets)
             return df.select(*[v.col.alias(k) for k, v in made.items()])
+        if self.grouped and any(s.get("aggregation_operation") for s in derivation["slot_derivations"].values()):
+            return plan.grouped(df, scope)
         if self.ordered:
             return plan.project(df, scope, (lookup.POSITION,)).orderBy(lookup.POSITION).drop(lookup.POSITION)
         return plan.project(df, scope)
@@ -101,8 +121,10 @@ class Mapper:
 class _Plan:
     """The mapping of one source table."""
 
-    def __init__(self, mapper: Mapper, schema: Schema, derivation: dict, name: str, tables: dict[str, DataFrame]):
-        self.m, self.schema, self.derivation, self.name, self.tables = mapper, schema, derivation, name, tables
+    def __init__(self, mapper: Mapper, schema: Schema, derivation: dict, name: str, tables: dict[str, DataFrame], own: DataFrame):
+        self.m, self.schema, self.derivation, self.name, self.tables, self.own = mapper, schema, derivation, name, tables, own
+        self.base: dict[str, Typed] = {}
+        self.foreign: dict[str, Typed] = {}
         self.aliases: dict[str, Typed] = {}
         self.aggregates: dict[tuple[str, str], Typed] = {}
         self.containers: dict[str, Typed] = {}
@@ -110,7 +132,7 @@ class _Plan:
     # -- joins --------------------------------------------------------------------------------------------------------
     def joined(self, df: DataFrame) -> tuple[DataFrame, dict[str, Typed]]:
         base = {f.name: Typed(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if f.name != lookup.POSITION}
-        first, every = join_rules.uses(self.derivation)
+        first, every = join_rules.uses(self.derivation, self.m.grouped)
         for alias, j in self.derivation["joins"].items():
             table = self.tables.get(j.get("class_named") or alias)
             source_key = j.get("source_key") or j.get("join_on")
@@ -133,8 +155,29 @@ class _Plan:
                 df = lookup.first_match(df, source_key, table, key, alias, columns)
                 self.aliases[alias] = Typed(F.col(f"`_j_{alias}`"), df.schema[f"_j_{alias}"].dataType)
         self._containers(base)
+        self.base = base
+        for column, read in join_rules.followed(self.derivation).items():
+            df = self._foreign(df, column, read)
         return df, base
 
+    def _foreign(self, df: DataFrame, column: str, read: set[str]) -> DataFrame:
+        """df with the object, in a table of its class, that an identifier (or a list of them) refers to; a reference
+        that leads nowhere is null. Objects of the same container are found without a join."""
+        slot = self.schema.slot(self.name, column)
+        if slot is None or column not in self.base or slot.inlined or slot.range not in self.schema.classes or slot.range in self.containers:
+            return df
+        key, table = self.schema.identifier(slot.range), self.own if slot.range == self.name else self.tables.get(slot.range)
+        if key is None or table is None or key not in table.columns:
+            return df
+        v, alias = self.base[column], f"fk_{column}"
+        several = v.kind == "list"
+        if (v.element(v.col) if several else v).kind not in ("int", "text"):
+            return df
+        match = lookup.listed_matches if several else lookup.first_match
+        df = match(df, column, table, key, alias, [c for c in table.columns if c in read or c == key])
+        self.foreign[column] = Typed(F.col(f"`_j_{alias}`"), df.schema[f"_j_{alias}"].dataType)
+        return df
+
     def _containers(self, base: dict[str, Typed]) -> None:
         """Maps by identifier of the inlined collections of this row, for references between objects of one container."""
         for slot in self.schema.induced(self.name).values() if self.schema.has_class(self.name) else ():
@@ -145,11 +188,28 @@ class _Plan:
                     self.containers.setdefault(slot.range, found)
 
     # -- projection ---------------------------------------------------------------------------------------------------
-    def project(self, df: DataFrame, base: dict[str, Typed], kept: tuple = ()) -> DataFrame:
+    def grouped(self, df: DataFrame, base: dict[str, Typed]) -> DataFrame:
+        """One row per combination of the slots that are no aggregates and no constants, aggregates over its rows."""
+        slots = {n: s for n, s in self.derivation["slot_derivations"].items() if not s.get("hide")}
+        aggregates = {n: s["aggregation_operation"] for n, s in slots.items() if s.get("aggregation_operation")}
+        constants = {n: literal(s["value"]) for n, s in slots.items() if s.get("value") is not None and n not in aggregates}
+        keys = [n for n in slots if n not in aggregates and n not in constants]
+        inputs: dict[str, Typed] = {}
+        for n in aggregates:
+            v, _ = self.copied({**slots[n], "populated_from": slots[n].get("populated_from") or n}, base, self.name, {})
+            inputs[n] = Typed(v.col.cast(STRING), STRING) if v.kind == "null" else v
+        df = lookup.positioned(df)
+        rows = self.project(df, base, (*[v.col.alias(f"_v_{n}") for n, v in inputs.items()], lookup.POSITION), {n for n in self.derivation["slot_derivations"] if n not in aggregates})
+        made = aggregate.over_groups(rows, keys, {n: (Typed(F.col(f"`_v_{n}`"), v.type), aggregates[n]) for n, v in inputs.items()}, lookup.POSITION)
+        return made.select(*[(constants[n].col if n in constants else F.col(f"`{n}`")).alias(n) for n in slots])
+
+    def project(self, df: DataFrame, base: dict[str, Typed], kept: tuple = (), only: set[str] | None = None) -> DataFrame:
         """One select, with the columns kept as they are; slots that others read through slot() are columns of their own first, so nothing is repeated."""
         read = join_rules.slots_read(self.derivation)
         made: dict[str, Typed] = {}
         for name, s in self.derivation["slot_derivations"].items():
+            if only is not None and name not in only:
+                continue
             v = self.slot(s, base, made, self.derivation, self.name, {})
             if name in read:
                 column = f"_slot_{name}"
@@ -176,10 +236,12 @@ class _Plan:
             names[name] = self.follow(names[name], cls, name)
         names |= {"_source_class": literal(cls or ""), **self.aliases, **extra}
         names["src"] = struct({k: v for k, v in source.items()}) if source else null()
-        return Scope(names, made, self.m.strict)
+        return Scope(names, made, self.m.strict, self.m.functions)
 
     def follow(self, v: Typed, cls: str | None, name: str) -> Typed:
-        """An identifier (or list of them) as the object of this container it refers to."""
+        """An identifier (or list of them) as the object it refers to, of this container or of a table joined for it."""
+        if name in self.foreign and self.base.get(name) is v:
+            return self.foreign[name]
         slot = self.schema.slot(cls, name)
         index = self.containers.get(slot.range) if slot and slot.range in self.schema.classes else None
         if index is None or v.kind in ("object", "dict", "null"):
@@ -340,7 +402,7 @@ class _Plan:
                     table.setdefault(str(o), p["name"])
             parts = []
             if d.get("expr") is not None:
-                parts.append(key_text(compile_expression(str(d["expr"]), Scope({"source": v, "value": v, "_source_class": literal(name)}))))
+                parts.append(key_text(compile_expression(str(d["expr"]), Scope({"source": v, "value": v, "_source_class": literal(name)}, functions=self.m.functions))))
             if table:
                 parts.append(coerce.value_map(v, table).col)
             if d.get("mirror_source"):

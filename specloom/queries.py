@@ -24,19 +24,19 @@ def _slots(source: str, slots: dict, target: str = "Out", **more) -> dict:
     return {"class_derivations": {target: {"populated_from": source, "slot_derivations": slots, **more}}}
 
 
-def _add(name: str, source: str, spec: dict, sql: str, tables: tuple = (), schema=None, prepare=None, target=None, finish=None) -> None:
+def _add(name: str, source: str, spec: dict, sql: str, tables: tuple = (), schema=None, prepare=None, target=None, finish=None, **options) -> None:
     """A query: the source table (prepared), mapped by spec with other tables at hand, finished for comparison."""
-    _SPECS[name] = (source, spec, tables, schema, prepare, target, finish)
+    _SPECS[name] = (source, spec, tables, schema, prepare, target, finish, options)
     ORACLES[name] = sql
 
 
 def _run(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        source, spec, others, schema, prepare, target, finish = _SPECS[name]
+        source, spec, others, schema, prepare, target, finish, options = _SPECS[name]
         given = {t: table(spark, sf_dir, t) for t in (source, *others)}
         if prepare:
             given[source] = prepare(given[source])
-        out = Mapper(spec, schema(given) if schema else None, target).transform(given, source)
+        out = Mapper(spec, schema(given) if schema else None, target, **options).transform(given, source)
         return finish(out) if finish else out
 
     return query
@@ -246,6 +246,44 @@ def reference_in_container(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["reference_in_container"] = "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation"
 
 
+def _refers(**ranges: tuple[str, str, str]):
+    """A schema maker: columns whose values identify rows of a table, as column=(its table, the table, its identifier)."""
+
+    def make(given) -> Schema:
+        s = Schema.from_struct({t: d.schema for t, d in given.items()})
+        for column, (table_, other, key) in ranges.items():
+            s.classes[table_]["attributes"][column]["range"] = other
+            s.classes[other]["attributes"][key]["identifier"] = True
+        return s
+
+    return make
+
+
+_add("reference_in_table", "customer", _slots("customer", {"k": {"populated_from": "c_custkey"}, "id": {"populated_from": "c_nationkey"}, "nation": _e("{c_nationkey.n_name}"), "low": _e("lower(c_nationkey.n_name) + str(c_nationkey.n_regionkey)")}),
+     "SELECT c_custkey AS k, c_nationkey AS id, n_name AS nation, lower(n_name) || n_regionkey AS low FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", ("nation",), _refers(c_nationkey=("customer", "nation", "n_nationkey")))
+_add("reference_list", "lineitem", _slots("lineitem", {"k": {"populated_from": "l_orderkey"}, "names": _e("l_suppkeys.s_name"), "n": _e("len(l_suppkeys)")}),
+     "SELECT l_orderkey AS k, string_agg(s_name, '|' ORDER BY l_linenumber, l_suppkey, l_partkey) AS names, count(*) AS n FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1", ("supplier",), _refers(l_suppkeys=("lineitem", "supplier", "s_suppkey")),
+     prepare=lambda d: d.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))), lambda x: x["l_suppkey"]).alias("l_suppkeys")), finish=lambda d: d.withColumn("names", F.array_join("names", "|")))
+
+
+def _folded(column: str, operator: str, **more) -> dict:
+    return {"populated_from": column, "aggregation_operation": {"operator": operator, **more}}
+
+
+_add("group_by", "lineitem", _slots("lineitem", {"flag": {"populated_from": "l_returnflag"}, "status": _e("lower(l_linestatus)"), "kind": {"value": "sum"}, "n": _folded("l_quantity", "COUNT"), "q": _folded("l_quantity", "SUM"), "price": _folded("l_extendedprice", "AVERAGE"), "most": _folded("l_extendedprice", "MAX"), "lines": _folded("l_linenumber", "SET")}),
+     "SELECT l_returnflag AS flag, lower(l_linestatus) AS status, 'sum' AS kind, count(*) AS n, round(sum(l_quantity), 7) AS q, round(avg(l_extendedprice), 7) AS price, max(l_extendedprice) AS most, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS lines FROM lineitem GROUP BY 1, 2",
+     finish=lambda d: _rounded("q", "price")(d).withColumn("lines", F.array_join(F.sort_array(F.transform("lines", lambda x: x.cast("string"))), ",")), grouped=True)
+_add("group_by_lookup", "customer", _slots("customer", {"nation": {"populated_from": "nation.n_name"}, "n": _folded("c_custkey", "COUNT"), "region": _folded("nation.n_regionkey", "MIN"), "balance": _folded("c_acctbal", "SUM")}, joins=_NATION),
+     "SELECT n_name AS nation, count(*) AS n, min(n_regionkey) AS region, round(sum(c_acctbal), 7) AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", ("nation",), finish=_rounded("balance"), grouped=True)
+_add("enum_root", "customer", {"class_derivations": {}, "enum_derivations": {"customer": {"permissible_value_derivations": _ENUM, "mirror_source": True}}}, "SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'House' WHEN 'MACHINERY' THEN 'Tool' WHEN 'AUTOMOBILE' THEN 'Tool' ELSE c_mktsegment END AS c_mktsegment FROM customer",
+     schema=lambda given: Schema({"enums": {"customer": {"permissible_values": {"BUILDING": {}, "MACHINERY": {}}}}}), prepare=lambda d: d.select("c_mktsegment"))
+_add("type_root", "nation", {"class_derivations": {}}, "SELECT n_name FROM nation", schema=lambda given: Schema({"types": {"nation": {"typeof": "string"}}}), prepare=lambda d: d.select("n_name"))
+_add("ext_text", "part", _slots("part", {"k": {"populated_from": "p_partkey"}, "a": _e("substr(p_type, 1, 4)"), "b": _e("substr(p_type, -3)"), "c": _e("strip('  ' + p_brand + ' ')"), "d": _e("replace(p_type, ' ', '.')"), "e": _e("startswith(p_type, 'S') or endswith(p_type, 'L')"), "f": _e("contains(p_name, 'e')"), "g": _e("join('/', split(p_type))"), "h": _e("to_pascal(to_snake('someNiceName'))"), "i": _e("coalesce(NULL, p_brand)"), "j": _e("to_camel('a_' + lower(p_brand))")}),
+     "SELECT p_partkey AS k, substr(p_type, 2, 3) AS a, right(p_type, 3) AS b, p_brand AS c, replace(p_type, ' ', '.') AS d, starts_with(p_type, 'S') OR ends_with(p_type, 'L') AS e, contains(p_name, 'e') AS f, array_to_string(list_filter(string_split(p_type, ' '), lambda x: x <> ''), '/') AS g, 'SomeNiceName' AS h, p_brand AS i, 'a' || upper(p_brand[1]) || lower(p_brand[2:]) AS j FROM part", extensions=True)
+_add("ext_lists", "conversations", _slots("conversations", {"id": {"populated_from": "conv_id"}, "s": _e("sum(turns.turn)"), "l": _e("last(sorted(turns.turn))"), "r": _e("first(reversed(turns.role))"), "y": _e("any([t.turn > 2 for t in turns])"), "z": _e("all([t.turn >= 0 for t in turns])"), "u": _e("floor(sum(turns.turn) / 4)"), "v": _e("ceil(sum(turns.turn) / 4)"), "w": _e("is_list(turns) and is_int(conv_id) and not is_str(conv_id)")}),
+     "SELECT conv_id AS id, sum(turn)::BIGINT AS s, max(turn) AS l, arg_max(role, turn) AS r, max(turn) > 2 AS y, min(turn) >= 0 AS z, floor(sum(turn) / 4)::BIGINT AS u, ceil(sum(turn) / 4)::BIGINT AS v, TRUE AS w FROM conversations GROUP BY 1", prepare=_turns, schema=_turn_schema, extensions=True)
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -231,3 +231,66 @@ def test_finite_numbers_at_any_depth(spark):
 def test_views(spark):
     io.views({"some_view": spark.range(3)})
     assert spark.sql("SELECT sum(id) AS s FROM some_view").first().s == 3
+
+
+def test_groups(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", None, "x"), (None, 5, "x"), (None, 6, "x")], "g string, n long, t string").coalesce(1)
+    over = lambda f, o: {"populated_from": f, "aggregation_operation": {"operator": o}}
+    slot = {"g": None, "c": {"value": "k"}, "s": over("n", "SUM"), "n": over("n", "COUNT"), "l": over("n", "LIST"), "m": over("t", "MODE"), "u": over("t", "SET")}
+    assert rows(Mapper(slots("t", slot), grouped=True).transform(df, "t")) == sorted([
+        {"g": "a", "c": "k", "s": 4, "n": 2, "l": [1, 3], "m": "y", "u": ["x", "y"]},
+        {"g": "b", "c": "k", "s": 0, "n": 1, "l": [None], "m": "x", "u": ["x"]},
+        {"g": None, "c": "k", "s": 11, "n": 2, "l": [5, 6], "m": "x", "u": ["x"]},
+    ], key=str)
+    whole = {"s": over("n", "MAX"), "u": over("t", "SET")}
+    assert rows(Mapper(slots("t", whole), grouped=True).transform(df, "t")) == [{"s": 6, "u": ["x", "y"]}]
+    assert rows(Mapper(slots("t", whole), grouped=True).transform(df.limit(0), "t")) == [{"s": None, "u": []}]
+    hidden = {"up": {"expr": "upper(g)", "hide": True}, "h": {"expr": "slot('up')"}, "n": over("n", "COUNT")}
+    assert [r["n"] for r in rows(Mapper(slots("t", hidden), grouped=True).transform(df, "t"))] == [2, 1, 2]
+
+
+def test_references_to_objects_of_tables(spark):
+    people = spark.createDataFrame([(1, "Ann", 2, [2, 3]), (2, "Bob", 9, []), (3, "Cid", None, None), (4, "Dan", 2, [9, 1])], "id long, name string, boss long, friends array<long>")
+    pets = spark.createDataFrame([("p", 1), ("q", 4), ("r", 9)], "pet string, owner long")
+    schema = {"classes": {"Person": {"attributes": {"id": {"identifier": True, "range": "integer"}, "name": {}, "boss": {"range": "Person"}, "friends": {"range": "Person", "multivalued": True}}}, "Pet": {"attributes": {"pet": {}, "owner": {"range": "Person"}}}}}
+    spec = {"class_derivations": {"Out": {"populated_from": "Person", "slot_derivations": {"id": None, "boss": {"expr": "boss.name"}, "raw": {"expr": "boss"}, "friends": {"expr": "friends.name"}}}, "Pet": {"slot_derivations": {"pet": None, "of": {"expr": "{owner.name} + '!'"}}}}}
+    out = Mapper(spec, schema).transform({"Person": people, "Pet": pets})
+    assert rows(out["Out"]) == [{"id": 1, "boss": "Bob", "raw": 2, "friends": ["Bob", "Cid"]}, {"id": 2, "boss": None, "raw": 9, "friends": None}, {"id": 3, "boss": None, "raw": None, "friends": None}, {"id": 4, "boss": "Bob", "raw": 2, "friends": [None, "Ann"]}]
+    assert rows(out["Pet"]) == [{"pet": "p", "of": "Ann!"}, {"pet": "q", "of": "Dan!"}, {"pet": "r", "of": None}]
+
+
+def test_values_as_root(spark):
+    df = spark.createDataFrame([("A",), ("Z",), (None,)], "v string")
+    schema = {"enums": {"E": {"permissible_values": {"A": {}}}}, "types": {"Code": {"typeof": "string"}}}
+    spec = {"class_derivations": {}, "enum_derivations": {"F": {"populated_from": "E", "permissible_value_derivations": {"alpha": {"populated_from": "A"}}}}}
+    assert [r["v"] for r in Mapper(spec, schema).transform(df, "E").collect()] == ["alpha", None, None]
+    assert [r["v"] for r in Mapper(spec, schema).transform(df, "Code").collect()] == ["A", "Z", None]
+    with pytest.raises(SpecError):
+        Mapper(spec, schema).transform(df.withColumn("w", F.lit(1)), "E")
+
+
+@pytest.mark.parametrize("text, want", [
+    ("sum([1, 2, 3])", 6), ("sum([1.5, 2])", 3.5), ("sorted([3, 1, 2])", [1, 2, 3]), ("any([0, 1])", True), ("all([0, 1])", False), ("any([])", False), ("all([])", True),
+    ("reversed([1, 2])", [2, 1]), ("first([7, 8])", 7), ("last([7, 8])", 8), ("first([])", None), ("floor(-1.5)", -2), ("ceil(-1.5)", -1), ("floor([1.5, 2.5])", [1, 2]),
+    ("substr('hello', 1, 3)", "el"), ("substr('hello', 2)", "llo"), ("substr('hello', -3, -1)", "ll"), ("substr('hello', 4, 2)", ""), ("substr('hello', 9)", ""), ("substr('a', -5, 1)", "a"),
+    ("strip(' \\t a b \\u00a0')", "a b"), ("lstrip('  a ')", "a "), ("rstrip('  a ')", "  a"), ("strip('xxaxx', 'x')", "a"), ("replace('a.b.c', '.', '-')", "a-b-c"),
+    ("startswith('abc', 'ab')", True), ("endswith('abc', 'b')", False), ("contains('abc', 'b')", True), ("split(' a  b ')", ["a", "b"]), ("split('')", []), ("split('a.b.', '.')", ["a", "b", ""]), ("split('a\\\\Eb', '\\\\E')", ["a", "b"]),
+    ("join('-', ['a', 'b'])", "a-b"), ("to_snake('HTTPResponseCode-x')", "http_response_code_x"), ("to_camel('http_response')", "httpResponse"), ("to_pascal('http_response')", "HttpResponse"),
+    ("is_str('a')", True), ("is_int(True)", False), ("is_float(1.0)", True), ("is_bool(1 == 1)", True), ("is_list([1])", True), ("is_str(nothing)", False), ("coalesce(nothing, 'x', 1)", "x"), ("coalesce(nothing, NULL)", None), ("sum(NULL)", None), ("strip(nothing)", None),
+])
+def test_additional_functions(spark, text, want):
+    spec = slots("t", {"v": {"expr": text}})
+    one = spark.createDataFrame([(1, None)], "k long, nothing string")
+    assert rows(Mapper(spec, extensions=True).transform(one, "t"))[0]["v"] == want
+    with pytest.raises(SpecError):
+        Mapper(spec).transform(one, "t")
+
+
+def test_additional_functions_fail_on_null_elements(spark):
+    one = spark.createDataFrame([([1, None],)], "l array<long>")
+    for text in ("sum(l)", "sorted(l)", "join(',', l)"):
+        with pytest.raises(Exception, match="null element"):
+            Mapper(slots("t", {"v": {"expr": text}}), extensions=True).transform(one, "t").collect()
+    for text in ("sum(1)", "strip(1)", "substr('a')"):
+        with pytest.raises(SpecError):
+            Mapper(slots("t", {"v": {"expr": text}}), extensions=True).transform(one, "t")
