@@ -29,6 +29,7 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--extensions", action="store_true", help="expressions may call the additional functions")
     m.add_argument("--grouped", action="store_true", help="aggregates are taken over groups of equal other slots")
     m.add_argument("--on-bad-cast", choices=("null", "keep", "error"), default="null")
+    m.add_argument("--continue-on-error", action="store_true", help="leave failing rows out, say how many, and exit with 1")
     d = sub.add_parser("derive-schema", help="the target schema that a specification implies")
     d.add_argument("-T", "--transformer-specification", required=True)
     d.add_argument("-s", "--schema", required=True)
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     spark = spark or SparkSession.builder.appName("specloom").getOrCreate()
     schema, spec = Schema(load(a.schema), load(a.transformer_specification).get("source_schema_patches")), normalise(a.transformer_specification)
-    mapper = Mapper(spec, schema, load(a.target_schema) if a.target_schema else None, on_bad_cast=a.on_bad_cast, ordered=not a.unordered, extensions=a.extensions, grouped=a.grouped)
+    mapper = Mapper(spec, schema, load(a.target_schema) if a.target_schema else None, on_bad_cast=a.on_bad_cast, ordered=not a.unordered, extensions=a.extensions, grouped=a.grouped, on_error="collect" if a.continue_on_error else "fail")
     cls = a.source_type or (spec["class_derivations"][0].get("populated_from") or spec["class_derivations"][0]["name"])
     if os.path.isdir(a.input) and not a.input.endswith((".parquet", ".jsonl", ".csv")):
         others = {j.get("class_named") or k: False for c in spec["class_derivations"] for k, j in c["joins"].items()}
@@ -76,7 +77,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     else:
         tables = {cls: io.read(spark, a.input, schema, cls)}
     io.write(mapper.transform(tables, cls), a.output, a.output_format, mode="overwrite")
-    return 0
+    if cls not in mapper.rejected:
+        return 0
+    # what the driver writes row by row has no end that Spark observes, so those (small) rows are counted anew
+    failed = mapper.observed[cls].get.get("rejected") if io.on_executors(a.output, a.output_format) else mapper.rejected[cls].count()
+    if failed:
+        print(f"{failed} rows of {cls} failed and were left out", file=sys.stderr)
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":

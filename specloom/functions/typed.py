@@ -190,3 +190,13 @@ def json_text(v: Typed) -> Column:
 def raise_if(bad: Column, message: str, value: Typed) -> Typed:
     """value, or a failing row where bad holds."""
     return Typed(F.when(bad, F.raise_error(F.lit(message)).cast(value.type)).otherwise(value.col), value.type)
+
+
+def attempt(value: Column) -> Column:
+    """value, or null where evaluating it fails. Catalyst's own try-expression, which no function of the public API gives
+    for any value; the branch keeps equal parts of value from being evaluated ahead of it, outside the try."""
+    from pyspark.sql import SparkSession
+
+    jvm = SparkSession.active()._jvm
+    convert, tried = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions.TryEval
+    return F.when(F.spark_partition_id() >= 0, type(value)(convert.column(tried(convert.expression(value._jc)))))

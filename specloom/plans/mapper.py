@@ -7,7 +7,7 @@ that hold one row per key, so rows are neither lost nor multiplied.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from ..errors import SpecError, UnitError
 from ..functions import units
 from ..functions.expression import FUNCTIONS, Scope, compile_expression, references
 from ..functions.extensions import EXTENDED
-from ..functions.typed import DOUBLE, STRING, Typed, array, key_text, literal, null, number, struct
+from ..functions.typed import DOUBLE, STRING, Typed, array, attempt, key_text, literal, null, number, struct
 from ..operators import aggregate, coerce, lookup, pivot
 from . import joins as join_rules
 from .schema import Schema
@@ -32,10 +32,15 @@ class Mapper:
     extensions: expressions may call the functions of functions/extensions.py too. grouped: a derivation with aggregates
     gives one row per distinct combination of its other slots (constants left out), each aggregate taken over the rows
     of the group; a column of another table is that of the row's first match. Without it, an aggregate reduces a list
-    of the row or all rows that a lookup matches.
+    of the row or all rows that a lookup matches. on_error: fail lets a failing row fail the job; collect leaves failing
+    rows out and gives them, as they were read, under rejected[class], and their number, once what transform returned
+    has been written, under observed[class]. Rows fail one by one in the projection: streams, pivots, groups and
+    aggregates over joined rows fail as a whole.
     """
 
-    def __init__(self, spec, source_schema=None, target_schema=None, strict: bool = False, nested_row: str = "merged", on_bad_cast: str = "null", ordered: bool = False, extensions: bool = False, grouped: bool = False):
+    def __init__(self, spec, source_schema=None, target_schema=None, strict: bool = False, nested_row: str = "merged", on_bad_cast: str = "null", ordered: bool = False, extensions: bool = False, grouped: bool = False, on_error: str = "fail"):
+        if on_error not in ("fail", "collect"):
+            raise SpecError(f"on_error is fail or collect, not {on_error!r}")
         self.spec = normalise(spec)
         given = source_schema if isinstance(source_schema, Schema) or source_schema is None else Schema(source_schema)
         patches = self.spec.get("source_schema_patches")
@@ -44,6 +49,9 @@ class Mapper:
         self.strict, self.nested_row, self.on_bad_cast, self.ordered = strict, nested_row, on_bad_cast, ordered
         self.functions, self.grouped = EXTENDED if extensions else FUNCTIONS, grouped
         self.tables: dict[str, tuple[DataFrame, str | None]] = {}
+        self.collects = on_error == "collect"
+        self.rejected: dict[str, DataFrame] = {}
+        self.observed: dict[str, Observation] = {}
 
     def register_join_table(self, name: str, table: DataFrame, key: str | None = None) -> Mapper:
         """A table for lookups; registering a name again replaces it."""
@@ -113,10 +121,22 @@ class Mapper:
             return df.select(*[v.col.alias(k) for k, v in made.items()])
         if self.grouped and any(s.get("aggregation_operation") for s in derivation["slot_derivations"].values()):
             return plan.grouped(df, scope)
+        if self.collects and not df.isStreaming:
+            return self._split(plan, df, scope, name)
         if self.ordered:
             return plan.project(df, scope, (lookup.POSITION,)).orderBy(lookup.POSITION).drop(lookup.POSITION)
         return plan.project(df, scope)
 
+    def _split(self, plan: _Plan, df: DataFrame, scope: dict[str, Typed], name: str) -> DataFrame:
+        """The rows that can be mapped; those that cannot are kept in rejected and counted in observed."""
+        source = F.struct(*[v.col.alias(k) for k, v in scope.items()]).alias("source")
+        rows = plan.project(df, scope, (source, *([lookup.POSITION] if self.ordered else ())), tried="row")
+        if self.ordered:
+            rows = rows.orderBy(lookup.POSITION)
+        self.rejected[name] = rows.filter(F.col("row").isNull()).select("source.*")
+        self.observed[name] = Observation()
+        return rows.observe(self.observed[name], F.count_if(F.col("row").isNull()).alias("rejected")).filter(F.col("row").isNotNull()).select("row.*")
+
 
 class _Plan:
     """The mapping of one source table."""
@@ -203,9 +223,10 @@ class _Plan:
         made = aggregate.over_groups(rows, keys, {n: (Typed(F.col(f"`_v_{n}`"), v.type), aggregates[n]) for n, v in inputs.items()}, lookup.POSITION)
         return made.select(*[(constants[n].col if n in constants else F.col(f"`{n}`")).alias(n) for n in slots])
 
-    def project(self, df: DataFrame, base: dict[str, Typed], kept: tuple = (), only: set[str] | None = None) -> DataFrame:
-        """One select, with the columns kept as they are; slots that others read through slot() are columns of their own first, so nothing is repeated."""
-        read = join_rules.slots_read(self.derivation)
+    def project(self, df: DataFrame, base: dict[str, Typed], kept: tuple = (), only: set[str] | None = None, tried: str | None = None) -> DataFrame:
+        """One select, with the columns kept as they are; slots that others read through slot() are columns of their own
+        first, so nothing is repeated. tried: all slots are one struct column of that name, null where one of them fails."""
+        read = () if tried else join_rules.slots_read(self.derivation)
         made: dict[str, Typed] = {}
         for name, s in self.derivation["slot_derivations"].items():
             if only is not None and name not in only:
@@ -218,7 +239,8 @@ class _Plan:
                 v = Typed(F.col(f"`{column}`"), v.type)
             made[name] = v
         shown = {k: v for k, v in made.items() if not self.derivation["slot_derivations"][k].get("hide")}
-        return df.select(*[(v.col.cast(STRING) if v.kind == "null" else v.col).alias(k) for k, v in shown.items()], *kept)
+        columns = [(v.col.cast(STRING) if v.kind == "null" else v.col).alias(k) for k, v in shown.items()]
+        return df.select(*([attempt(F.struct(*columns)).alias(tried)] if tried else columns), *kept)
 
     def object(self, derivation: dict, source: dict[str, Typed], cls: str | None, extra: dict[str, Typed]) -> Typed:
         made: dict[str, Typed] = {}

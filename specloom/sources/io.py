@@ -134,6 +134,11 @@ def views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def on_executors(path: str, format: str | None = None) -> bool:
+    """Whether write leaves the writing to executors."""
+    return path.startswith("table:") or (path != "-" and format_of(path, format) in ("parquet", "csv", "tsv", "jsonl"))
+
+
 def write(df: DataFrame, path: str, format: str | None = None, mode: str = "error") -> None:
     """A table in the format of the path's suffix; "-" is standard output and needs a format; "table:NAME" is a table
     of the session's catalog."""

@@ -294,3 +294,33 @@ def test_additional_functions_fail_on_null_elements(spark):
     for text in ("sum(1)", "strip(1)", "substr('a')"):
         with pytest.raises(SpecError):
             Mapper(slots("t", {"v": {"expr": text}}), extensions=True).transform(one, "t")
+
+
+def test_failing_rows_are_collected(spark, tmp_path, capsys):
+    schema = {"classes": {"Reading": {"slots": ["id", "raw", "parts"]}}, "slots": {"id": {"range": "integer"}, "raw": {"range": "string"}, "parts": {"range": "integer", "multivalued": True}}}
+    spec = slots("Reading", {"id": None, "n": {"expr": "int(raw) + 1"}, "again": {"expr": "int(raw) + 1"}, "next": {"expr": "slot('n') * 2"}, "safe": {"expr": "case((raw == 'x', 0), (True, int(raw)))"}, "low": {"expr": "min(parts)"}})
+    data = [(3, "7", [4, 2]), (1, "x", [1]), (2, "5", []), (0, None, [9]), (4, "11", [6])]
+    df = spark.createDataFrame(data, "id long, raw string, parts array<long>").repartition(3)
+    with pytest.raises(Exception):
+        Mapper(spec, schema).transform(df, "Reading").collect()
+    mapper = Mapper(spec, schema, on_error="collect")
+    good = rows(mapper.transform(df, "Reading"))
+    assert [r["id"] for r in good] == [0, 3, 4]
+    assert good[1] == {"id": 3, "n": 8, "again": 8, "next": 16, "safe": 7, "low": 2}
+    assert rows(mapper.rejected["Reading"]) == [{"id": 1, "raw": "x", "parts": [1]}, {"id": 2, "raw": "5", "parts": []}]
+    assert mapper.observed["Reading"].get == {"rejected": 2}
+    lazy = Mapper(slots("Reading", {"id": None, "safe": {"expr": "case((raw == 'x', 0), (True, int(raw)))"}}), schema, on_error="collect")
+    assert len(rows(lazy.transform(df, "Reading"))) == 5 and lazy.rejected["Reading"].count() == 0
+    assert Mapper(spec, schema, on_error="collect", ordered=True).transform(df.limit(0), "Reading").collect() == []
+    with pytest.raises(SpecError):
+        Mapper(spec, schema, on_error="ignore")
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(dict(zip(("id", "raw", "parts"), r))) for r in data))
+    (tmp_path / "t.yaml").write_text(json.dumps(spec))
+    (tmp_path / "s.yaml").write_text(json.dumps(schema))
+    call = ["map-data", str(tmp_path / "in.jsonl"), "-T", str(tmp_path / "t.yaml"), "-s", str(tmp_path / "s.yaml"), "--source-type", "Reading", "--continue-on-error"]
+    for name in ("out.jsonl", "out.json"):
+        assert main([*call, "-o", str(tmp_path / name)], spark) == 1
+        assert "2 rows of Reading failed" in capsys.readouterr().err
+        assert [r["id"] for r in io.read(spark, str(tmp_path / name)).collect()] == [3, 0, 4]
+    (tmp_path / "in.jsonl").write_text(json.dumps({"id": 1, "raw": "2", "parts": [3]}))
+    assert main([*call, "-o", str(tmp_path / "out.jsonl")], spark) == 0
