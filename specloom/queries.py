@@ -284,6 +284,20 @@ _add("ext_lists", "conversations", _slots("conversations", {"id": {"populated_fr
      "SELECT conv_id AS id, sum(turn)::BIGINT AS s, max(turn) AS l, arg_max(role, turn) AS r, max(turn) > 2 AS y, min(turn) >= 0 AS z, floor(sum(turn) / 4)::BIGINT AS u, ceil(sum(turn) / 4)::BIGINT AS v, TRUE AS w FROM conversations GROUP BY 1", prepare=_turns, schema=_turn_schema, extensions=True)
 
 
+_NINTH = _slots("customer", {"id": {"populated_from": "c_custkey"}, "ninth": _e("c_mktsegment[8]"), "lower": _e("lower(slot('ninth'))")})
+_add("failing_rows_left_out", "customer", _NINTH, "SELECT c_custkey AS id, substr(c_mktsegment, 9, 1) AS ninth, lower(substr(c_mktsegment, 9, 1)) AS lower FROM customer WHERE length(c_mktsegment) > 8", on_error="collect")
+
+
+def failing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a mapping rejects, as they were read."""
+    mapper = Mapper(_NINTH, on_error="collect")
+    mapper.transform(table(spark, sf_dir, "customer"), "customer")
+    return mapper.rejected["customer"].select("c_custkey", "c_mktsegment")
+
+
+ORACLES["failing_rows"] = "SELECT c_custkey, c_mktsegment FROM customer WHERE length(c_mktsegment) <= 8"
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -315,5 +329,5 @@ ORACLES |= {f"round_trip_{k}": "SELECT p_partkey AS k, p_name AS name, p_retailp
 
 
 def queries() -> dict:
-    made = {n: _run(n) for n in _SPECS} | {"lookup_two_stage": lookup_two_stage, "stream_stateless_map": stream_stateless_map, "reference_in_container": reference_in_container}
+    made = {n: _run(n) for n in _SPECS} | {"lookup_two_stage": lookup_two_stage, "stream_stateless_map": stream_stateless_map, "reference_in_container": reference_in_container, "failing_rows": failing_rows}
     return made | {f"round_trip_{k}": _round_trip(k) for k in _FORMATS}
