@@ -262,3 +262,12 @@ def test_html_blocks_are_the_pages_text():
         plain.feed(page)
         plain.cut()
         assert [text for _, text in html_extract.parse(page)[1]] == plain.blocks
+
+
+def test_secret_query_searches_each_text_once(spark, tmp_path):
+    key = "".join(chr(97 + i % 26) + str(i % 10) for i in range(0, 36, 2))
+    data = [(1, f"password={key}"), (2, "nothing here"), (None, f"token: {key} and password={key}"), (3, None), (4, "")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = secret_scan.op10_secret_scan(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("(?<![0-9A-Za-z])") == 1
+    assert sorted((r.doc_id or 0, r.start, r.length) for r in out.collect()) == [(0, 7, 36), (0, 57, 36), (1, 9, 36)]
