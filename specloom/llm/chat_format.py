@@ -4,11 +4,11 @@ Every turn is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n`` with control
 Every assistant turn becomes an example of its own: all preceding turns are its context and only its reply (without the
 closing mark) is trainable. Turns after the last reply form a last example without a target.
 
-Contexts grow with the square of a conversation's length, so an example row holds the part of its context that the
-example before it does not have (``prefix``: the turns in between and the head of its own turn), how long the whole
-context is, and its target. A context is the prefixes and closed targets of the examples up to it, in order;
-``materialise`` writes them out where that is wanted. Turns are dealt out by conversation, put in order and read as a
-stream, so a conversation with very many turns needs no more memory than one of its examples.
+An example row holds its whole context as text (all preceding turns and the head of its own turn), how long that is, and
+its target, so it stands for itself: contexts of one conversation grow with the square of its length, which is what the
+expansion is. Turns are dealt out by conversation, put in order and read as a stream, and examples go out in batches of
+bounded size, so a conversation needs no more memory than a few of its examples. A context is one value, which Spark
+limits to 2 GB; a longer one fails the job.
 
 Escaping: in roles and texts each "\\" becomes "\\\\", and the bar of each "<|" becomes "\\|", so that "<|" occurs in a
 rendering only where the template puts it; in roles a line feed becomes "\\n". Reading back reverses this exactly.
@@ -32,7 +32,7 @@ from . import common
 START, STOP = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(STOP) + r"\n", re.S)
 _BACK = re.compile(r"\\(.)", re.S)
-EXAMPLES = "conv_id long, example long, turns_before long, context_chars long, prefix string, target string"
+EXAMPLES = "conv_id long, example long, turns_before long, context_chars long, context string, target string"
 #: Characters of examples in one batch.
 HELD = 1 << 22
 
@@ -56,34 +56,36 @@ def read(rendering: str) -> list[tuple[str, str]]:
 
 
 def expand(turns, trainable: str = "assistant"):
-    """(conv_id, example, turns before it, characters of its context, prefix, target) of (conv_id, role, text) in order.
+    """(conv_id, example, turns before it, characters of its context, what its context adds to the rendering of the example
+    before, target, context) of (conv_id, role, text) in order."""
+    now, begun, prefix, whole = None, False, [], ""
+    example = before = 0
+
+    def row(target):
+        new = "".join(prefix)
+        return now, example, before, len(whole) + len(new), new, target, whole + new
 
-    The closing mark of a target opens the prefix of what follows it, or is an example's own last word (see closed).
-    """
-    now, begun, prefix = None, False, []
-    example = before = chars = 0
     for conv, role, text in turns:
         if not begun or conv != now:
             if prefix:
-                yield now, example, before, chars, "".join(prefix), None
-            now, begun, prefix = conv, True, []
-            example = before = chars = 0
+                yield row(None)
+            now, begun, prefix, whole = conv, True, [], ""
+            example = before = 0
         opening, body = head(role), escape(text)
         if role == trainable:
             prefix.append(opening)
-            yield now, example, before, chars + len(opening), "".join(prefix), body
-            example, prefix = example + 1, []
-            chars += len(opening) + len(body) + len(STOP) + 1
+            out = row(body)
+            yield out
+            example, prefix, whole = example + 1, [], closed(out[6], body)
         else:
             prefix.append(opening + body + STOP + "\n")
-            chars += len(prefix[-1])
         before += 1
     if prefix:
-        yield now, example, before, chars, "".join(prefix), None
+        yield row(None)
 
 
 def closed(prefix: str, target: str | None) -> str:
-    """An example's part of the rendering: its prefix, its target and the mark that closes it."""
+    """What an example renders: its context (or what is new in it), its target and the mark that closes it."""
     return prefix if target is None else prefix + target + STOP + "\n"
 
 
@@ -95,8 +97,8 @@ def _expand(batches):
 
     held, size = [], 0
     for row in expand(turns()):
-        held.append(row)
-        size += len(row[4]) + len(row[5] or "")
+        held.append((*row[:4], row[6], row[5]))
+        size += len(row[6]) + len(row[5] or "")
         if size > HELD or len(held) >= 10_000:
             yield _rows(held)
             held, size = [], 0
@@ -105,53 +107,53 @@ def _expand(batches):
 
 
 def _rows(held: list[tuple]):
-    conv, example, before, chars, prefix, target = zip(*held)
-    return pa.record_batch([*(pa.array(x, pa.int64()) for x in (conv, example, before, chars)), pa.array(prefix, pa.string()), pa.array(target, pa.string())], names=["conv_id", "example", "turns_before", "context_chars", "prefix", "target"])
+    conv, example, before, chars, context, target = zip(*held)
+    return pa.record_batch([*(pa.array(x, pa.int64()) for x in (conv, example, before, chars)), pa.array(context, pa.string()), pa.array(target, pa.string())], names=["conv_id", "example", "turns_before", "context_chars", "context", "target"])
 
 
 def examples(turns: DataFrame) -> DataFrame:
     """One row per example, each conversation's in order within one partition: conv_id, example (from 0), turns_before,
-    context_chars, prefix, target (null without one). turns: conv_id, turn, role, text."""
+    context_chars, context (all that precedes the target), target (null without one). turns: conv_id, turn, role, text."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), text("role"), text("text"), F.col("turn").cast("long").alias("turn"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_expand, EXAMPLES)
 
 
 def materialise(expanded: DataFrame) -> DataFrame:
-    """conv_id, example, context, target: every example with its whole context as a string."""
-    part = F.concat("prefix", F.when(F.col("target").isNull(), F.lit("")).otherwise(F.concat("target", F.lit(STOP + "\n"))))
-    earlier = expanded.select(F.col("conv_id").alias("_c"), F.col("example").alias("_e"), part.alias("_part"))
-    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_e") < F.col("example"))
-    joined = expanded.join(earlier, same, "left").groupBy("conv_id", "example", "prefix", "target").agg(F.sort_array(F.collect_list(F.when(F.col("_e").isNotNull(), F.struct("_e", "_part")))).alias("parts"))
-    return joined.select("conv_id", "example", F.concat(F.array_join(F.transform("parts", lambda x: x["_part"]), ""), F.col("prefix")).alias("context"), "target")
+    """conv_id, example, context, target: what is trained on."""
+    return expanded.select("conv_id", "example", "context", "target")
 
 
 def _digest(batches):
-    """Turns and loss of each conversation, read back from its examples as they pass."""
-    now, state, out = None, None, []
+    """Turns and loss of each conversation, read back from its examples as they pass.
+
+    A context must begin with all that the example before it renders, so only what follows that is read for new turns.
+    """
+    now, state, out, seen = None, None, [], ""
 
     def done():
-        n, turns, chars, loss, size = state
-        return (now, n, turns.hexdigest(), chars, loss.hexdigest(), size)
+        n, turns, chars, loss = state
+        return (now, n, turns.hexdigest(), chars, loss.hexdigest(), len(seen))
 
     for batch in batches:
-        conv, _, before, context, prefix, target = (c.to_pylist() for c in batch.columns)
-        for c, b, k, p, t in zip(conv, before, context, prefix, target):
+        columns = [batch.column(k).to_pylist() for k in ("conv_id", "turns_before", "context_chars", "context", "target")]
+        for c, b, k, x, t in zip(*columns):
             if state is None or c != now:
                 if state:
                     out.append(done())
-                now, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            part = closed(p, t)
-            for role, text in read(part):
+                now, state, seen = c, [0, hashlib.sha256(), 0, hashlib.sha256()], ""
+            if len(x) != k or not x.startswith(seen):
+                raise ValueError(f"an example of conversation {c} does not hold its whole context")
+            for role, text in read(closed(x[len(seen) :], t)):
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
             if t is not None:
                 reply = unescape(t)
                 state[2] += len(reply)
                 state[3].update(reply.encode())
-            state[4] += len(part)
-            if state[0] != b + (t is not None) or state[4] - (len(t) + len(STOP) + 1 if t is not None else 0) != k:
+            if state[0] != b + (t is not None):
                 raise ValueError(f"an example of conversation {c} does not hold its whole context")
+            seen = closed(x, t)
         if out:
             yield _digests(out)
             out = []

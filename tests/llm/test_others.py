@@ -72,6 +72,30 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.examples(turns.limit(0))).count() == 0
 
 
+def test_chat_examples_hold_their_whole_context(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"{k} <|im_end|> \\ \n") for k in range(41)] + [(2, 0, "assistant", "first"), (3, 0, "system", "s"), (3, 1, "user", "u")]
+    expanded = chat_format.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = expanded.collect()
+    assert sorted((e.conv_id, e.example) for e in got) == [(1, k) for k in range(21)] + [(2, 0), (3, 0)]
+    for e in got:
+        turns = [x[2:] for x in sorted(rows) if x[0] == e.conv_id]
+        assert len(e.context) == e.context_chars
+        if e.target is None:
+            assert chat_format.read(e.context) == turns and e.turns_before == len(turns)
+        else:
+            assert chat_format.read(chat_format.closed(e.context, e.target)) == turns[: e.turns_before + 1] and turns[e.turns_before] == ("assistant", chat_format.unescape(e.target))
+            assert e.context.endswith(chat_format.head("assistant"))
+    # the digests come from the contexts: one that lacks a turn is not accepted
+    batch = lambda x: chat_format._rows([(1, 0, 1, len(x[0]), x[0], "a"), (1, 1, 3, len(x[1]), x[1], "b")])
+    turn = lambda role, text: chat_format.head(role) + text + chat_format.STOP + "\n"
+    first, reply = turn("user", "q") + chat_format.head("assistant"), "a" + chat_format.STOP + "\n"
+    second = turn("user", "r") + chat_format.head("assistant")
+    (whole,) = chat_format._digest([batch((first, first + reply + second))])
+    assert whole.to_pylist()[0]["n_turns"] == 4 and whole.to_pylist()[0]["formatted_chars"] == len(first + reply + second) + len(reply)
+    with pytest.raises(ValueError):
+        list(chat_format._digest([batch((first, second))]))
+
+
 def test_bpe():
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     from specloom.llm import bpe
