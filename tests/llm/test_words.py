@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-from specloom.llm import common, quality_rules, simhash_dedup, substring_dedup
+from specloom.llm import common, components, quality_rules, simhash_dedup, substring_dedup
 
 KIND = "doc_id long, text string, lang string, n_words int, pos string"
 
@@ -206,3 +206,32 @@ def test_cutoffs_are_chosen_on_the_given_tables(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("stratum"), "text").repartition(16)
     cuts = {x.stratum: x for x in quality_rules.thresholds(common.cut(quality_rules.with_features(docs).drop("text")), spark.read.parquet(f"{d}/labels.parquet")).collect()}
     assert cuts["en"].symbols is not None and cuts["en"].word_length is not None
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    r = random.Random(6)
+    edges = [(k, k + 1) for k in range(-60, 0)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(220)] + [(5000, k) for k in range(5001, 5050)] + [(7, 7), (-(1 << 63), (1 << 63) - 1)]
+    around = {}
+    for a, b in edges:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    want = {}
+    for a in sorted(around):
+        reach, open_ = {a}, [a]
+        while open_:
+            new = around[open_.pop()] - reach
+            reach |= new
+            open_ += new
+        if min(reach) < a:
+            want[a] = min(reach)
+    table = spark.createDataFrame(edges + edges[:9], "a long, b long")
+    spark.sparkContext.setJobGroup("one-task", "")
+    one = components.roots(table).collect()
+    spark.sparkContext.setJobGroup("rounds", "")
+    rounds = components.roots(table, block=0).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(x) for x in one) == sorted(tuple(x) for x in rounds) == sorted(want.items())
+    # few links cost the driver few jobs
+    jobs = {g: len(spark.sparkContext.statusTracker().getJobIdsForGroup(g)) for g in ("one-task", "rounds")}
+    assert jobs["one-task"] <= 8 < jobs["rounds"]
+    assert components.roots(table.limit(0)).count() == 0
